@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from .mixing import op10_mixing
 from .packing import op7_best_fit_packing
+from .quality import op2_quality
 from .token_records import op1_token_records
+from .toxicity import op5_toxicity
 
 QUERIES = {
     "op1_token_records": op1_token_records,
+    "op2_quality": op2_quality,
+    "op5_toxicity": op5_toxicity,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
