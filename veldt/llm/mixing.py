@@ -147,13 +147,16 @@ def plan(docs: DataFrame, share: float = SHARE, weights=WEIGHTS, repeats: int =
 
 
 def select(docs: DataFrame, flows: list[dict], seed: str = SEED) -> DataFrame:
-    """Adds copies: how often the mix takes a document of docs(doc_id, pattern, size, ...)."""
+    """Adds copies: how often the mix takes a document of docs(doc_id, pattern, size, ...).
+
+    Tables of one row for each pattern are broadcast: `plan` has bounded their number by max_patterns.
+    """
     spark = docs.sparkSession
     key = F.xxhash64(F.lit(seed), F.col("doc_id"))
     table_ = [(p["pattern"], p["flow"] // p["words"] if p["words"] else int(p["flow"] > 0), p["flow"] % p["words"] if p["words"] else 0) for p in flows]
     goals = spark.createDataFrame(table_ or [([], 0, 0)], "pattern array<string>, base long, extra long")
     rows = docs.withColumn("_key", key).withColumn("_slice", F.shiftrightunsigned("_key", 52).cast("int"))
-    rows = rows.join(goals, "pattern")
+    rows = rows.join(F.broadcast(goals), "pattern")
     slices = rows.groupBy("pattern", "_slice").agg(F.sum("size").alias("_words"))
     upto = Window.partitionBy("pattern").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.select("pattern", "_slice", F.coalesce(F.sum("_words").over(upto), F.lit(0)).alias("_before"))
@@ -162,9 +165,9 @@ def select(docs: DataFrame, flows: list[dict], seed: str = SEED) -> DataFrame:
     rows = rows.withColumn("_in", F.col("_upto") <= F.col("extra"))
     gaps = rows.groupBy("pattern").agg((F.first("extra") - F.coalesce(F.sum(F.when(F.col("_in"), F.col("size"))), F.lit(0))).alias("_gap"))
     misfit = F.abs(F.col("size") - F.col("_gap"))
-    rest = rows.filter(~F.col("_in")).join(gaps, "pattern").filter(misfit < F.col("_gap"))
+    rest = rows.filter(~F.col("_in")).join(F.broadcast(gaps), "pattern").filter(misfit < F.col("_gap"))
     last = rest.groupBy("pattern").agg(F.min(F.struct(misfit.alias("m"), "_key", "_upto", "doc_id")).alias("_last"))
-    rows = rows.join(last, "pattern", "left")
+    rows = rows.join(F.broadcast(last), "pattern", "left")
     closes = F.coalesce(~F.col("_in") & (F.col("_upto") == F.col("_last._upto")) & F.col("doc_id").eqNullSafe(F.col("_last.doc_id")) & (F.col("_key") == F.col("_last._key")), F.lit(False))
     copies = F.col("base") + F.when(F.col("_in") | closes, 1).otherwise(0)
     return rows.withColumn("copies", copies).drop("_key", "_slice", "base", "extra", "_before", "_upto", "_in", "_last")

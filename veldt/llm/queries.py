@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import op3_chat_formatting
 from .mixing import op10_mixing
 from .packing import op7_best_fit_packing
 from .quality import op2_quality
@@ -11,9 +12,46 @@ from .toxicity import op5_toxicity
 QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_quality": op2_quality,
+    "op3_chat_formatting": op3_chat_formatting,
     "op5_toxicity": op5_toxicity,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+OP3_SQL = r"""
+WITH RECURSIVE src AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS rn, role, text,
+         length(regexp_split_to_array(trim(text, ' '), '[ \t\n\v\f\r]+')) AS tokens,
+         length(role) + length(text) + 7
+           + length(role) - length(replace(replace(replace(role, '\', ''), '[', ''), ']', ''))
+           + length(text) - length(replace(replace(replace(text, '\', ''), '[', ''), ']', '')) AS shown
+  FROM src),
+w AS (
+  SELECT conv_id, rn, tokens AS used, 0 AS win FROM t WHERE rn = 1
+  UNION ALL
+  SELECT t.conv_id, t.rn,
+         CASE WHEN w.used > 0 AND w.used + t.tokens > 256 THEN t.tokens ELSE w.used + t.tokens END,
+         w.win + CASE WHEN w.used > 0 AND w.used + t.tokens > 256 THEN 1 ELSE 0 END
+  FROM w JOIN t ON t.conv_id = w.conv_id AND t.rn = w.rn + 1),
+sys AS (SELECT conv_id, CASE WHEN role = 'system' THEN 1 ELSE 0 END AS s FROM t WHERE rn = 1),
+spans AS (SELECT conv_id, win, min(rn) AS f FROM w GROUP BY ALL),
+again AS (
+  SELECT p.conv_id, sum(t.shown) AS chars
+  FROM spans p JOIN sys USING (conv_id) JOIN t ON t.conv_id = p.conv_id
+   AND ((sys.s = 1 AND t.rn = 1 AND p.f > 1) OR (t.rn < p.f AND t.rn >= p.f - greatest(0, least(2, p.f - 1 - sys.s))))
+  GROUP BY ALL),
+conv AS (
+  SELECT conv_id, count(*) AS n_turns,
+         sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY rn)) AS turns_sha256,
+         coalesce(string_agg(text, '' ORDER BY rn) FILTER (role = 'assistant'), '') AS loss, sum(shown) AS chars
+  FROM t GROUP BY conv_id)
+SELECT c.conv_id, c.n_turns, c.turns_sha256, CAST(length(c.loss) AS BIGINT) AS loss_chars, sha256(c.loss) AS loss_sha256,
+       CAST(c.chars + coalesce(a.chars, 0) AS BIGINT) AS formatted_chars, n.windows
+FROM conv c LEFT JOIN again a USING (conv_id) JOIN (SELECT conv_id, count(*) AS windows FROM spans GROUP BY ALL) n USING (conv_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": OP3_SQL}
