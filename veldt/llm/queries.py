@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .ann import op6_ann
 from .chat import op3_chat_formatting
+from .exact_topk import op9_exact_topk
 from .mixing import op10_mixing
 from .packing import op7_best_fit_packing
 from .quality import op2_quality
@@ -14,7 +16,9 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_chat_formatting": op3_chat_formatting,
     "op5_toxicity": op5_toxicity,
+    "op6_ann": op6_ann,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_exact_topk": op9_exact_topk,
     "op10_mixing": op10_mixing,
 }
 
@@ -54,4 +58,13 @@ SELECT c.conv_id, c.n_turns, c.turns_sha256, CAST(length(c.loss) AS BIGINT) AS l
 FROM conv c LEFT JOIN again a USING (conv_id) JOIN (SELECT conv_id, count(*) AS windows FROM spans GROUP BY ALL) n USING (conv_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": OP3_SQL}
+OP9_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(embedding) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+      FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_chat_formatting": OP3_SQL, "op9_exact_topk": OP9_SQL}

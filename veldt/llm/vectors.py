@@ -1,20 +1,26 @@
-"""What the two vector searches share: valid vectors, classes of equal vectors, shards, merging.
+"""What the two vector searches share: valid vectors, classes of equal vectors, indexed shards, merging.
 
 Equal vectors form a class. A search needs at most k + 1 ids of a class (one may be the query itself), the
 smallest ones, because ties go to the smaller id. A group limit keeps those before any shuffle, so a vector that
 a third of all rows share never meets in one task. Classes are dealt to shards by a hash of the vector, queries
-to blocks by a hash of their id; every block meets every shard, and the shards' best k are merged by rank.
+to blocks by a hash of their id. A shard's index is built once and written as flat arrays; every block of queries
+then meets every shard, and the shards' best k are merged by rank.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import parts, written
+
+#: Distinct vectors in a shard, queries in a block.
+SHARD, BLOCK = 4096, 512
+
 
 def valid(vector: Column, zero: bool) -> Column:
     """Not null, no null or non-finite component; with zero, not all zeros either."""
@@ -25,40 +31,71 @@ def valid(vector: Column, zero: bool) -> Column:
 
 def classes(rows: DataFrame, keep: int) -> DataFrame:
     """rows(vec_id, v array<double>): one row for each distinct vector with its `keep` smallest ids."""
-    # 0.0 and -0.0 are one value to every measure here
-    rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
     order = Window.partitionBy("v").orderBy("vec_id")
     few = rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= keep)
     return few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    """Rows of equal length from an Arrow array of lists."""
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return np.ascontiguousarray(flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0), np.float64)
+def matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Rows of `dim` doubles from an Arrow array of lists or doubles."""
+    flat = column.flatten() if pa.types.is_list(column.type) or pa.types.is_large_list(column.type) else column
+    return np.ascontiguousarray(flat.to_numpy(zero_copy_only=False).reshape(-1, dim), np.float64)
+
+
+INDEX = "shard int, dim int, vectors array<double>, ids array<array<bigint>>, links array<int>, numbers array<double>"
+
+
+def indexed(rows: DataFrame, keep: int, build: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], shard: int = SHARD) -> DataFrame:
+    """One row for each shard of rows(vec_id, v): distinct vectors, their ids and what build(vectors) gives."""
+    found = written(classes(rows, keep).withColumn("dim", F.size("v")), "classes")
+    shards = max(1, -(-found.count() // shard))
+    dealt = found.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
+    grouped = dealt.groupBy("shard", "dim").agg(F.sort_array(F.collect_list(F.struct("ids", "v"))).alias("m"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                members, dim = batch.column("m")[i].values, batch.column("dim")[i].as_py()
+                v = matrix(members.field("v"), dim)
+                links, numbers = build(v)
+                columns = [pa.array([batch.column("shard")[i].as_py()], pa.int32()), pa.array([dim], pa.int32())]
+                columns += [pa.array([x], t) for x, t in ((v.ravel(), pa.list_(pa.float64())), (members.field("ids").to_pylist(), pa.list_(pa.list_(pa.int64()))), (links.astype(np.int32), pa.list_(pa.int32())), (numbers.astype(float), pa.list_(pa.float64())))]
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in INDEX.split(", ")])
 
-def search(queries: DataFrame, shards: DataFrame, blocks: int, within, k: int, score: str) -> DataFrame:
-    """queries(query_id, q, dim, block), shards(ids, v, dim, shard): `within(Q, query_ids, V, ids)` yields candidate
-    (query_id, vec_id, score) of one shard for one block. Gives query_id, rank, vec_id, score: the best k."""
-    left = queries.groupBy("block", "dim").agg(F.collect_list(F.struct("query_id", "q")).alias("queries"))
-    right = shards.groupBy("shard", "dim").agg(F.collect_list(F.struct("v", "ids")).alias("members"))
-    schema = f"query_id long, vec_id long, score {score}"
+    return written(grouped.mapInArrow(run, INDEX), "index")
+
+
+def search(queries: DataFrame, index: DataFrame, find: Callable, k: int, score: str, block: int = BLOCK) -> DataFrame:
+    """queries(query_id, q). find(Q, V, ids, links, numbers) gives for each query (class numbers, scores), best
+    first, at least k + 1 where there are as many. Returns query_id, rank, vec_id, score."""
+    spark = queries.sparkSession
+    queries = written(queries.withColumn("dim", F.size("q")), "queries")
+    blocks = max(1, -(-queries.count() // block))
+    left = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    left = left.groupBy("block", "dim").agg(F.collect_list(F.struct("query_id", "q")).alias("queries"))
+    shards = index.select("shard", "dim").distinct()
+    sent = left.join(shards, "dim").select("shard", "dim", "block", "queries")
+    pairs = sent.join(index, ["shard", "dim"]).repartition(parts(spark), "shard", "block")
     kind = pa.float64() if score == "double" else pa.int64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                qs, ms = batch.column("queries")[i].values, batch.column("members")[i].values
-                ids = [x.as_py() for x in ms.field("ids")]
-                got = within(matrix(qs.field("q")), qs.field("query_id").to_numpy(), matrix(ms.field("v")), ids)
-                yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64()), pa.array(got[2], kind)], ["query_id", "vec_id", "score"])
-
-    # each block of queries goes to each shard: block copies are made by explode, then met by shard
-    shard_ids = shards.select("shard").distinct()
-    sent = left.join(shard_ids)
-    pairs = sent.join(right, ["shard", "dim"])
-    found = pairs.select("queries", "members").mapInArrow(run, schema)
+                dim = batch.column("dim")[i].as_py()
+                asked = batch.column("queries")[i].values
+                q, v = matrix(asked.field("q"), dim), matrix(batch.column("vectors")[i].values, dim)
+                ids, links, numbers = batch.column("ids")[i].as_py(), batch.column("links")[i].values.to_numpy(), batch.column("numbers")[i].values.to_numpy()
+                out: tuple[list, list, list] = ([], [], [])
+                for own, (near, scores) in zip(asked.field("query_id").to_pylist(), find(q, v, ids, links, numbers), strict=True):
+                    # a class is worth at most k rows besides the query itself
+                    got = [(-s, x) for c, s in zip(near.tolist(), scores.tolist(), strict=True) for x in ids[c] if x != own]
+                    for s, x in sorted(got)[:k]:
+                        out[0].append(own)
+                        out[1].append(x)
+                        out[2].append(-s)
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], kind)], ["query_id", "vec_id", "score"])
+
+    found = pairs.mapInArrow(run, f"query_id long, vec_id long, score {score}")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
