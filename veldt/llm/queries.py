@@ -5,6 +5,7 @@ from __future__ import annotations
 from .ann import op6_ann
 from .chat import op3_chat_formatting
 from .exact_topk import op9_exact_topk
+from .jaccard import op4_jaccard_join
 from .mixing import op10_mixing
 from .packing import op7_best_fit_packing
 from .quality import op2_quality
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_quality": op2_quality,
     "op3_chat_formatting": op3_chat_formatting,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_toxicity": op5_toxicity,
     "op6_ann": op6_ann,
     "op7_best_fit_packing": op7_best_fit_packing,
