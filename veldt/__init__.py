@@ -1,0 +1,10 @@
+"""veldt: a measurement-analytics engine on PySpark.
+
+Functions of this package travel to executors by value, so a cluster needs no copy of it.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
