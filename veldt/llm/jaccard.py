@@ -4,9 +4,10 @@
 alone separate nothing in a corpus where most pairs are that far apart. The first level therefore takes single
 shingles as pivots: d(x, {s}) is below 1 exactly for the shingles s of x. Shingles have one global order, rare
 ones first; a document lies in the regions of its first |x| - ceil(t |x|) + 1 shingles in that order, and two
-documents within 1 - t of each other share one of them. Regions with a document in common form a cluster; no link
-leaves a cluster. (The order comes from a sketch of fixed size that counts shingles by hash; any order is exact,
-this one keeps frequent passages from making regions.)
+documents within 1 - t of each other share one of them. A region is cut where sizes differ too much to
+link. Regions with a document in common form a cluster; no link leaves a cluster. (The order comes from a sketch
+of fixed size that counts shingles by hash; any order is exact, this one keeps frequent passages from making
+regions.)
 
 Within a cluster documents are the pivots. A cluster above LEAF documents is cut: each document goes to the
 region of its nearest pivot and to every region whose pivot is no more than 2 (1 - t) further away, which by the
@@ -24,7 +25,6 @@ own text, and share the id; an empty table gives no rows.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import table, written
+from .shared import release, table, written
 from .shingles import mix, sets
 
 LEAF, BLOCK = 160, 80
@@ -227,15 +227,19 @@ def _join_regions(rows: DataFrame, width: int, t: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, width: int, t: int, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
     """docs(doc_id, text): doc_id, n_shingles, component_id, links (of its class to others), class_size."""
+    spark = docs.sparkSession
     signed = written(signatures(docs, width, t, sketch(docs, width)), "signatures")
     known = signed.filter("doc_id is not null and n > 0")
     least = known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("class_size"))
     classes = written(least.withColumn("node", F.monotonically_increasing_id()), "classes")
     named = known.join(classes, (known.doc_id == classes.first_id) & (known.n == classes.n) & (known.d1 == classes.d1) & (known.d2 == classes.d2))
-    regions = named.select("node", F.explode("first").alias("shingle"))
-    shared = regions.groupBy("shingle").agg(F.min("node").alias("pivot"), F.max("node").alias("_max")).filter("pivot <> _max").select("shingle", "pivot")
-    met = regions.join(shared, "shingle").filter("node <> pivot").select("node", "pivot").distinct()
-    clusters = written(components(met, "node", "pivot"), "clusters")
+    regions = named.select("node", classes.n.alias("n"), F.explode("first").alias("shingle"))
+    # by size, neighbours within t of each other: what lies between two sizes that can link, links to both
+    order = Window.partitionBy("shingle").orderBy("n", "node")
+    met = regions.withColumn("_n", F.lag("n").over(order)).withColumn("other", F.lag("node").over(order))
+    met = met.filter(F.col("other").isNotNull() & (100 * F.col("_n") >= t * F.col("n"))).select("node", "other").distinct()
+    clusters = written(components(met, "node", "other"), "clusters")
+    release(spark)
     members = clusters.join(classes, "node").select(F.col("component").cast("string").alias("region"), "node", "d1", "first_id")
     texts = docs.select(F.col("doc_id").cast("long").alias("first_id"), F.col("text").cast("string").alias("text"))
     rows = written(members.join(texts, "first_id").select("region", "node", "d1", "text"), "members")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -46,3 +47,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove shuffle files that no live DataFrame needs, once a written table stands for them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
