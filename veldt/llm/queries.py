@@ -9,6 +9,7 @@ from .jaccard import op4_jaccard_join
 from .mixing import op10_mixing
 from .packing import op7_best_fit_packing
 from .quality import op2_quality
+from .suffix_dedup import op8_suffix_dedup
 from .token_records import op1_token_records
 from .toxicity import op5_toxicity
 
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_ann": op6_ann,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_exact_topk": op9_exact_topk,
     "op10_mixing": op10_mixing,
 }
