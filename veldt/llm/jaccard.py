@@ -1,22 +1,19 @@
 """Operator 4: n-gram Jaccard join in metric space: pivots, Voronoi regions, triangle-inequality windows.
 
 1 - Jaccard is a metric on sets. For sets without a common shingle it is 1 whatever the sets, so document pivots
-alone separate nothing in a corpus where most pairs are that far apart. The first level therefore takes its
-pivots in projections: a hash deals all shingles into K classes, and a document's part in a class is a pivot of
-that projection, at distance 0 from exactly the documents with the same part. Two linked sets differ in at most
-D = (1 - t) / (1 + t) (|x| + |y|) shingles, so with K = D + 1 + W classes at least 1 + W parts agree. Parts of at
-most one shingle are weak; a document with no more than W weak parts leaves them out, and still shares a region
-with each of its links. K depends on sizes, so sizes fall into bands, and a document near the upper end of its
-band also enters the next one. Documents that share a region (and whose sizes can link) form a cluster; no link
-leaves a cluster.
-
-Within a cluster documents are the pivots. A cluster above LEAF documents is cut: each document goes to the
-region of its nearest pivot and to every region whose pivot is no more than 2 (1 - t) further away, which by the
-triangle inequality brings both ends of each link together. Documents that are at least t from all pivots form a
-region of their own and enter a pivot's region only if they share a shingle with it. Regions are cut again until
-they are small. A cluster that pivots do not thin out (copies with many random changes are all about as far from
-each other) is cut into blocks instead, and every pair of blocks is a region: exact, at the price of copies.
-Small regions join exactly, by counting common shingles.
+alone separate nothing in a corpus where most pairs are that far apart. The first level therefore takes single
+shingles as pivots: d(x, {s}) is below 1 exactly for the shingles s of x. Shingles have one global order, rare
+ones first; a document lies in the regions of its first |x| - ceil(t |x|) + 1 shingles in that order, and two
+documents within 1 - t of each other share one of them. (The order comes from a sketch of fixed size that counts
+shingles by hash; any order is exact, this one keeps frequent passages from making regions.) Regions of at most
+LEAF sets are joined pair by pair, as far as sizes can link.
+
+Larger regions with a document in common form a cluster, where documents are the pivots: each goes to the region of
+its nearest pivot and to every region whose pivot is no more than 2 (1 - t) further away, which by the triangle
+inequality brings both ends of each link together. Documents that are at least t from all pivots form a region of
+their own and enter a pivot's region only if they share a shingle with it. Regions are cut again until they are
+small. A cluster that pivots do not thin out (copies with many random changes are all about as far from each
+other) is cut into blocks instead, and every pair of blocks is a region: exact, at the price of copies.
 
 Equal sets are one class from the start and are never compared. Links become components by alternating stars.
 Defined results: null or blank texts have no shingles and link with nothing (each such row is its own component);
@@ -34,12 +31,38 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import release, table, written
+from .shared import parts, release, table, written
 from .shingles import mix, sets
 
 LEAF, BLOCK = 160, 80
 PIVOTS = 12
 DEPTH = 3
+SKETCH = 1 << 20
+_CHUNK = 1 << 14
+
+
+def sketch(docs: DataFrame, width: int) -> np.ndarray:
+    """Levels of frequency (half powers of two over the median) by the top bits of a shingle's hash. Fixed size."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            for _, hashes, _ in sets(batch.column(0), width):
+                total += np.bincount((hashes >> np.uint64(44)).astype(np.int64), minlength=SKETCH)
+        if total.any():
+            chunks = [c.tobytes() for c in total.reshape(-1, _CHUNK)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array(chunks, pa.binary())], ["chunk", "counts"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), np.int64) for x in rows.column("counts"))
+        return pa.table({"chunk": rows.column("chunk")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    rows = docs.select("text").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()
+    out = np.zeros(SKETCH, np.int64)
+    for r in rows:
+        out[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = np.frombuffer(r.counts, np.int64)
+    middle = max(1.0, float(np.median(out)))
+    return np.floor(2 * np.log2(np.maximum(out / middle, 1))).astype(np.uint8)
 
 
 def _digest(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,70 +76,90 @@ def _digest(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out[0], out[1]
 
 
-def bands(t: int, ratio: float = 1.4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower ends of the bands of set sizes, and the classes K and weak parts W of each band. A band without
-    differences (D = 0) has K = 0: only equal sets link there."""
-    low = [1]
-    while low[-1] < 1 << 34:
-        low.append(max(low[-1] + 1, int(low[-1] * ratio)))
-    low_ = np.array(low, np.int64)
-    d = (100 - t) * 2 * (low_[1:] - 1) // (100 + t)
-    weak = np.where(d > 0, d // 10 + 1, 0)
-    return low_, np.where(d > 0, d + 1 + weak, 0), weak
+def _needed(n: np.ndarray, t: int) -> np.ndarray:
+    """Places of the order that a set of n shingles takes: n - ceil(t n / 100) + 1, none for an empty set."""
+    return np.where(n > 0, n + (-t * n // 100) + 1, 0)
 
 
-SIGNATURE = "doc_id long, n long, d1 long, d2 long, parts array<long>"
+SIGNATURE = "doc_id long, n long, d1 long, d2 long, first array<long>"
 
 
-def _parts(hashes: np.ndarray, sizes: np.ndarray, band: np.ndarray, classes: np.ndarray, weak: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the parts of sets (of `band`, in classes[band] classes) and how many each set has."""
-    k, w = np.where(sizes > 0, classes[band], 0), weak[band]
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    use = k[owner] > 0
-    hashes, owner = hashes[use], owner[use]
-    begin = np.cumsum(k) - k
-    with np.errstate(over="ignore"):
-        place = ((mix(hashes ^ np.uint64(0xA5A5)) >> np.uint64(32)) * k[owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-        at = begin[owner] + place
-        total = np.zeros(int(k.sum()), np.uint64)
-        np.add.at(total, at, mix(hashes ^ np.uint64(0x5C5C)))
-        count = np.bincount(at, minlength=len(total))
-        of = np.repeat(np.arange(len(sizes)), k)
-        number = np.arange(len(total)) - np.repeat(begin, k)
-        name = mix(total + mix((band[of].astype(np.uint64) << np.uint64(40)) + number.astype(np.uint64)) + count.astype(np.uint64))
-    light = count <= 1
-    many = np.bincount(of, light, minlength=len(sizes)) > w
-    keep = ~light | many[of]
-    return name[keep], np.bincount(of[keep], minlength=len(sizes))
-
-
-def signatures(docs: DataFrame, width: int, t: int) -> DataFrame:
-    """Set size, digest and parts of every document; of equal sets in a batch only the first shows its parts."""
-    low, classes, weak = bands(t)
+def signatures(docs: DataFrame, width: int, t: int, levels: np.ndarray) -> DataFrame:
+    """Set size, digest and first shingles in the global order; of equal sets in a batch only one shows shingles."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, seen = batch.column(0), set()
             for i, hashes, sizes in sets(batch.column(1), width):
                 d1, d2 = _digest(hashes, sizes)
-                known = np.zeros(len(sizes), bool)
+                need = _needed(sizes, t)
                 for r, key in enumerate(zip(sizes.tolist(), d1.tolist(), d2.tolist(), strict=True)):
-                    known[r] = key in seen
+                    if key in seen:
+                        need[r] = 0
                     seen.add(key)
-                mine = hashes[~np.repeat(known, sizes)]
-                shown = np.where(known, 0, sizes)
-                band = np.searchsorted(low, np.maximum(shown, 1), "right") - 1
-                own, n_own = _parts(mine, shown, band, classes, weak)
-                upper = 100 * shown >= t * low[band + 1]
-                next_, n_next = _parts(mine[np.repeat(upper[~known], shown[~known])], np.where(upper, shown, 0), band + 1, classes, weak)
-                both = np.concatenate([own, next_]).view(np.int64)
-                order = np.argsort(np.concatenate([np.repeat(np.arange(len(sizes)), n_own), np.repeat(np.arange(len(sizes)), n_next)]), kind="stable")
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_own + n_next)]), pa.int32()), pa.array(both[order]))
-                yield pa.RecordBatch.from_arrays([ids[i : i + len(sizes)], pa.array(sizes.astype(np.int64)), pa.array(d1), pa.array(d2), lists], ["doc_id", "n", "d1", "d2", "parts"])
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                order = np.lexsort((hashes, levels[(hashes >> np.uint64(44)).astype(np.int64)], owner))
+                rank = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                first = hashes[order][rank < need[owner]].view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(need)]), pa.int32()), pa.array(first))
+                yield pa.RecordBatch.from_arrays([ids[i : i + len(sizes)], pa.array(sizes.astype(np.int64)), pa.array(d1), pa.array(d2), lists], ["doc_id", "n", "d1", "d2", "first"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, SIGNATURE)
 
 
+def meetings(regions: DataFrame, t: int, leaf: int) -> DataFrame:
+    """regions(shingle, n, d1): kind 0, pairs within regions of at most leaf sets whose sizes can link; kind 1, for
+    larger regions, neighbours by size (what lies between two sizes that can link, links to both)."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [tuple(c.to_numpy() for c in b.columns) for b in batches]
+        if not got:
+            return
+        shingle, n, d1 = map(np.concatenate, zip(*got, strict=True))
+        o = np.lexsort((d1, n, shingle))
+        shingle, n, d1 = shingle[o], n[o], d1[o]
+        new = np.ones(len(o), bool)
+        new[1:] = (shingle[1:] != shingle[:-1]) | (n[1:] != n[:-1]) | (d1[1:] != d1[:-1])
+        shingle, n, d1 = shingle[new], n[new], d1[new]
+        start = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
+        size = np.diff(np.append(start, len(shingle)))
+        end, small = np.repeat(start + size, size), np.repeat(size <= leaf, size)
+        kinds, a, b = [], [], []
+        at, k = np.flatnonzero((end - np.arange(len(end)) > 1)), 1
+        while len(at):
+            # sizes ascend within a region: beyond the first that is too large there is no other
+            at = at[(at + k < end[at]) & (small[at] | (k == 1))]
+            at = at[100 * n[at] >= t * n[np.minimum(at + k, len(n) - 1)]]
+            kinds.append((~small[at]).astype(np.int32))
+            a.append(np.minimum(d1[at], d1[at + k]))
+            b.append(np.maximum(d1[at], d1[at + k]))
+            k += 1
+        if a:
+            rows = np.unique(np.stack([np.concatenate(kinds).astype(np.int64), np.concatenate(a), np.concatenate(b)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0].astype(np.int32)), pa.array(rows[1]), pa.array(rows[2])], ["kind", "a", "b"])
+
+    dealt = regions.select("shingle", "n", "d1").repartition(parts(regions.sparkSession), "shingle")
+    return dealt.mapInArrow(meet, "kind int, a long, b long").distinct()
+
+
+def _compare(pairs: DataFrame, width: int, t: int) -> DataFrame:
+    """pairs(a, da, ta, b, db, tb): nodes, digests, texts. The pairs that link."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = _own_sets(batch.column("ta"), width), _own_sets(batch.column("tb"), width)
+            ok = np.ones(len(left), bool)
+            for own, d in ((left, batch.column("da")), (right, batch.column("db"))):
+                ok &= _digest(np.concatenate(own), np.array([len(x) for x in own], np.int64))[0] == d.to_numpy()
+            for i in np.flatnonzero(ok).tolist():
+                both = len(np.intersect1d(left[i], right[i], assume_unique=True))
+                ok[i] = 100 * both >= t * (len(left[i]) + len(right[i]) - both)
+            keep = pa.array(np.flatnonzero(ok), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], ["a", "b"])
+
+    return pairs.select("a", "da", "ta", "b", "db", "tb").mapInArrow(compare, "a long, b long")
+
+
 class Sets:
     """Some documents' shingle sets as one sorted run of (shingle, document)."""
 
@@ -240,22 +283,28 @@ def _join_regions(rows: DataFrame, width: int, t: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, width: int, t: int, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
     """docs(doc_id, text): doc_id, n_shingles, component_id, links (of its class to others), class_size."""
     spark = docs.sparkSession
-    signed = written(signatures(docs, width, t), "signatures")
+    signed = written(signatures(docs, width, t, sketch(docs, width)), "signatures")
     known = signed.filter("doc_id is not null and n > 0")
     least = known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("class_size"))
     classes = written(least.withColumn("node", F.monotonically_increasing_id()), "classes")
-    # by size, neighbours within t of each other: what lies between two sizes that can link, links to both.
-    # Here d1 alone names a set; should two sets share it, their clusters are one, and links are still compared.
-    regions = known.select("n", "d1", F.explode("parts").alias("part"))
-    order = Window.partitionBy("part").orderBy("n", "d1")
-    met = regions.withColumn("_n", F.lag("n").over(order)).withColumn("other", F.lag("d1").over(order))
-    met = met.filter((F.col("other") != F.col("d1")) & (100 * F.col("_n") >= t * F.col("n"))).select("d1", "other").distinct()
-    clusters = written(components(met, "d1", "other").withColumnRenamed("node", "node_"), "clusters")
+    # Here d1 alone names a set; should two sets share it, more is compared than need be.
+    met = written(meetings(known.select("n", "d1", F.explode("first").alias("shingle")), t, leaf), "meetings")
+    release(spark)
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    side = lambda x: classes.select(F.col("d1").alias(f"d{x}"), F.col("node").alias(x), F.col("first_id").alias(f"i{x}"))
+    text = lambda x: texts.select(F.col("id").alias(f"i{x}"), F.col("text").alias(f"t{x}"))
+    pairs = met.filter("kind = 0").select(F.col("a").alias("da"), F.col("b").alias("db")).join(side("a"), "da").join(side("b"), "db")
+    found = written(_compare(pairs.join(text("a"), "ia").join(text("b"), "ib"), width, t), "links")
+    release(spark)
+    large = met.filter("kind = 1")
+    if not large.isEmpty():
+        clusters = written(components(large, "a", "b"), "clusters")
+        members = classes.join(clusters.withColumnRenamed("node", "_d1"), F.col("d1") == F.col("_d1"))
+        members = members.select(F.col("component").cast("string").alias("region"), "node", "d1", F.col("first_id").alias("id"))
+        rows = written(members.join(texts, "id").select("region", "node", "d1", "text"), "members")
+        found = found.union(_join_regions(cut(rows, width, t, leaf, block), width, t))
+    found = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "all-links")
     release(spark)
-    members = classes.join(clusters, F.col("d1") == F.col("node_")).select(F.col("component").cast("string").alias("region"), "node", "d1", "first_id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("first_id"), F.col("text").cast("string").alias("text"))
-    rows = written(members.join(texts, "first_id").select("region", "node", "d1", "text"), "members")
-    found = written(_join_regions(cut(rows, width, t, leaf, block), width, t).distinct(), "links")
     joined = components(found, "a", "b").withColumnRenamed("component", "_root")
     degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     named_ = classes.join(joined, "node", "left").join(degree, "node", "left").withColumn("_root", F.coalesce("_root", "node"))
