@@ -3,8 +3,8 @@
 1 - Jaccard is a metric on sets. For sets without a common shingle it is 1 whatever the sets, so document pivots
 alone separate nothing in a corpus where most pairs are that far apart. The first level therefore takes single
 shingles as pivots: d(x, {s}) is below 1 exactly for the shingles s of x. Shingles have one global order, rare
-ones first; a document lies in the regions of its first |x| - ceil(t |x|) + 1 shingles in that order, and two
-documents within 1 - t of each other share one of them. (The order comes from a sketch of fixed size that counts
+ones first; a document lies in the regions of its first |x| - ceil(t |x|) + MEET shingles in that order, and two
+documents within 1 - t of each other share MEET of them. (The order comes from a sketch of fixed size that counts
 shingles by hash; any order is exact, this one keeps frequent passages from making regions.) Regions of at most
 LEAF sets are joined pair by pair, as far as sizes can link.
 
@@ -37,6 +37,8 @@ from .shingles import mix, sets
 LEAF, BLOCK = 160, 80
 PIVOTS = 12
 DEPTH = 3
+#: Regions that linked sets share at least. Sets too small for so many differ in nothing if they link (t >= 67).
+MEET = 3
 SKETCH = 1 << 20
 _CHUNK = 1 << 14
 
@@ -77,8 +79,8 @@ def _digest(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _needed(n: np.ndarray, t: int) -> np.ndarray:
-    """Places of the order that a set of n shingles takes: n - ceil(t n / 100) + 1, none for an empty set."""
-    return np.where(n > 0, n + (-t * n // 100) + 1, 0)
+    """Places of the order that a set of n shingles takes: n - ceil(t n / 100) + MEET, at most all n."""
+    return np.where(n > 0, np.minimum(n, n + (-t * n // 100) + MEET), 0)
 
 
 SIGNATURE = "doc_id long, n long, d1 long, d2 long, first array<long>"
@@ -108,8 +110,9 @@ def signatures(docs: DataFrame, width: int, t: int, levels: np.ndarray) -> DataF
 
 
 def meetings(regions: DataFrame, t: int, leaf: int) -> DataFrame:
-    """regions(shingle, n, d1): kind 0, pairs within regions of at most leaf sets whose sizes can link; kind 1, for
-    larger regions, neighbours by size (what lies between two sizes that can link, links to both)."""
+    """regions(shingle, n, d1): kind 0, pairs within regions of at most leaf sets whose sizes can link, if they meet in
+    MEET such regions; kind 1, for larger regions, neighbours by size (what lies between two sizes that can link,
+    links to both). Two sets that link share MEET regions: either all of them are small, or a large one holds both."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [tuple(c.to_numpy() for c in b.columns) for b in batches]
@@ -135,11 +138,16 @@ def meetings(regions: DataFrame, t: int, leaf: int) -> DataFrame:
             b.append(np.maximum(d1[at], d1[at + k]))
             k += 1
         if a:
-            rows = np.unique(np.stack([np.concatenate(kinds).astype(np.int64), np.concatenate(a), np.concatenate(b)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0].astype(np.int32)), pa.array(rows[1]), pa.array(rows[2])], ["kind", "a", "b"])
+            kind, a_, b_ = np.concatenate(kinds), np.concatenate(a), np.concatenate(b)
+            o = np.lexsort((b_, a_, kind))
+            kind, a_, b_ = kind[o], a_[o], b_[o]
+            first = np.flatnonzero(np.concatenate([[True], (kind[1:] != kind[:-1]) | (a_[1:] != a_[:-1]) | (b_[1:] != b_[:-1])]))
+            met = np.diff(np.append(first, len(kind)))
+            yield pa.RecordBatch.from_arrays([pa.array(kind[first].astype(np.int32)), pa.array(a_[first]), pa.array(b_[first]), pa.array(met.astype(np.int64))], ["kind", "a", "b", "met"])
 
     dealt = regions.select("shingle", "n", "d1").repartition(parts(regions.sparkSession), "shingle")
-    return dealt.mapInArrow(meet, "kind int, a long, b long").distinct()
+    found = dealt.mapInArrow(meet, "kind int, a long, b long, met long").groupBy("kind", "a", "b").agg(F.sum("met").alias("met"))
+    return found.filter((F.col("kind") == 1) | (F.col("met") >= MEET)).drop("met")
 
 
 def _compare(pairs: DataFrame, width: int, t: int) -> DataFrame:
@@ -293,9 +301,19 @@ def jaccard_components(docs: DataFrame, width: int, t: int, leaf: int = LEAF, bl
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     side = lambda x: classes.select(F.col("d1").alias(f"d{x}"), F.col("node").alias(x), F.col("first_id").alias(f"i{x}"))
     text = lambda x: texts.select(F.col("id").alias(f"i{x}"), F.col("text").alias(f"t{x}"))
-    pairs = met.filter("kind = 0").select(F.col("a").alias("da"), F.col("b").alias("db")).join(side("a"), "da").join(side("b"), "db")
-    found = written(_compare(pairs.join(text("a"), "ia").join(text("b"), "ib"), width, t), "links")
+    near = met.filter("kind = 0").select("a", "b")
+    groups = written(components(near, "a", "b").select(F.col("node").alias("_d1"), F.col("component").alias("group")), "groups")
+    sizes = groups.groupBy("group").agg(F.count("*").alias("size"))
+    # small groups of pairs bring each text once; pairs of larger groups bring both texts
+    few = groups.join(sizes.filter(F.col("size") <= leaf), "group")
+    members = classes.join(few, F.col("d1") == F.col("_d1")).select(F.concat(F.lit("p"), F.col("group").cast("string")).alias("region"), "node", "d1", F.col("first_id").alias("id"))
+    found = written(_join_regions(members.join(texts, "id").select("region", "node", "d1", "text"), width, t), "links")
     release(spark)
+    many = groups.join(sizes.filter(F.col("size") > leaf), "group").select(F.col("_d1").alias("a"))
+    pairs = near.join(many, "a").select(F.col("a").alias("da"), F.col("b").alias("db")).join(side("a"), "da").join(side("b"), "db")
+    if not pairs.isEmpty():
+        found = found.union(written(_compare(pairs.join(text("a"), "ia").join(text("b"), "ib"), width, t), "links"))
+        release(spark)
     large = met.filter("kind = 1")
     if not large.isEmpty():
         clusters = written(components(large, "a", "b"), "clusters")
