@@ -82,12 +82,12 @@ def predictors(spark, d):
     g, rg, bg = colour.reversible(*_rgb())
     back = colour.unpack(F.col("key"))
     p = F.col("r") / 256 + 0.001
-    return rows.select("key", colour.med(*_rgb()).alias("med"), g.alias("g"), rg.alias("rg"), bg.alias("bg"), *[c.alias(f"u{n}") for c, n in zip(back, "rgb", strict=True)], F.round(entropy.stretch(p), 6).alias("stretch"), F.round(entropy.squash(entropy.stretch(p)), 6).alias("squash"), F.round(colour.hue_angle(F.col("b") - 100.0, F.col("g") - 100.0), 6).alias("hue"), colour.morton3(*_rgb()).alias("z"))
+    return rows.select("key", colour.med(*_rgb()).alias("med"), g.alias("g"), rg.alias("rg"), bg.alias("bg"), *[c.alias(f"u{n}") for c, n in zip(back, "rgb", strict=True)], F.round(entropy.stretch(p), 6).alias("stretch"), F.round(entropy.squash(entropy.stretch(p)), 9).alias("squash"), F.round(colour.hue_angle(F.col("b") - 100.0, F.col("g") - 100.0), 6).alias("hue"), colour.morton3(*_rgb()).alias("z"))
 
 
 _MORTON = " + ".join(f"(((({c}) >> {bit}) & 1) << {3 * bit + k})" for bit in range(8) for k, c in enumerate("rgb"))
 PREDICT = "WITH " + HIST + f""" SELECT key, CASE WHEN b >= greatest(r, g) THEN least(r, g) WHEN b <= least(r, g) THEN greatest(r, g) ELSE r + g - b END AS med, g, r - g AS rg, b - g AS bg, r AS ur, g AS ug, b AS ub,
-round(ln((r / 256.0 + 0.001) / (1 - (r / 256.0 + 0.001))), 6) AS stretch, round(r / 256.0 + 0.001, 6) AS squash,
+round(ln((r / 256.0 + 0.001) / (1 - (r / 256.0 + 0.001))), 6) AS stretch, round(CAST(r AS DOUBLE) / 256 + 0.001, 9) AS squash,
 round(CASE WHEN b = 100 AND g = 100 THEN 0 WHEN degrees(atan2(b - 100.0, g - 100.0)) < 0 THEN degrees(atan2(b - 100.0, g - 100.0)) + 360 ELSE degrees(atan2(b - 100.0, g - 100.0)) END, 6) AS hue, CAST({_MORTON} AS INT) AS z FROM hist"""
 
 QUERIES = {

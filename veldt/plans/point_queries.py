@@ -169,7 +169,7 @@ ORACLE_SQL = {
     "j6_m21_pair_error": "WITH " + PAL + " SELECT CAST(sum(m.d * cnt) AS BIGINT) AS sse, max(m.d) AS worst, round(sum((abs(r - m.pr) + abs(g - m.pg) + abs(b - m.pb)) * cnt) / (3.0 * sum(cnt)), 6) AS mae FROM near",
     "j15_nearest_mark": "SELECT n_nationkey, min({'d': abs(p_size - (n_nationkey * 3 + 1)), 'mark': p_size}).mark AS mark FROM nation CROSS JOIN (SELECT DISTINCT p_size FROM part) GROUP BY n_nationkey",
     "j1_vectors": VEC,
-    "w1_median_split": "WITH " + HISTI + ", o AS (SELECT *, row_number() OVER w AS i, sum(cnt) OVER w AS c, count(*) OVER (PARTITION BY image) AS n, sum(cnt) OVER (PARTITION BY image) AS t FROM hist WINDOW w AS (PARTITION BY image ORDER BY r, key ROWS UNBOUNDED PRECEDING)), a AS (SELECT image, greatest(1, least(min(i) FILTER (2 * c >= t), max(n) - 1)) AS at FROM o GROUP BY image) SELECT o.image, CAST(CASE WHEN i <= at THEN 0 ELSE 1 END AS INT) AS side, CAST(sum(cnt) AS BIGINT) AS w, min(r) AS lo, max(r) AS hi FROM o JOIN a USING (image) GROUP BY ALL",
+    "w1_median_split": "WITH " + HISTI + ", o AS (SELECT *, row_number() OVER w AS i, sum(cnt) OVER w AS c, count(*) OVER (PARTITION BY image) AS n, sum(cnt) OVER (PARTITION BY image) AS t FROM hist WINDOW w AS (PARTITION BY image ORDER BY r, key ROWS UNBOUNDED PRECEDING)), a AS (SELECT image, greatest(1, least(min(i) FILTER (2 * c >= t), max(n) - 1)) AS split FROM o GROUP BY image) SELECT o.image, CAST(CASE WHEN i <= split THEN 0 ELSE 1 END AS INT) AS side, CAST(sum(cnt) AS BIGINT) AS w, min(r) AS lo, max(r) AS hi FROM o JOIN a USING (image) GROUP BY ALL",
     "w2_c11_space_curve": "WITH " + C11,
     "c4_lloyd": "WITH " + C4,
 }
