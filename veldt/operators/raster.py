@@ -52,14 +52,14 @@ def components(grid: DataFrame, rounds: int = 40) -> DataFrame:
     Runs of equal labels within a row are nodes; touching runs of neighbouring rows are edges; the smallest
     position spreads along edges, with a jump over the label's own label each round, until nothing changes.
     """
-    new = F.when(F.col("lab") == F.lag("lab").over(row()), 0).otherwise(1)
+    new = F.when((F.col("lab") == F.lag("lab").over(row())) & (F.col("x") == F.lag("x").over(row()) + 1), 0).otherwise(1)
     runs = grid.withColumn("_run", F.sum(new).over(row()))
     width = Window.partitionBy("image")
     pos = F.col("y") * (F.max("x").over(width) + 1) + F.col("x")
     cells = runs.withColumn("_pos", pos.cast("long")).withColumn("_node", F.min(pos.cast("long")).over(Window.partitionBy("image", "y", "_run")))
     cells = cells.select("image", "x", "y", "lab", F.col("_node").alias("node")).checkpoint()
-    up = cells.withColumn("_up", F.lag("node").over(column())).withColumn("_lab", F.lag("lab").over(column()))
-    edges = up.filter(F.col("_lab") == F.col("lab")).select("image", F.col("node").alias("a"), F.col("_up").alias("b")).distinct()
+    up = cells.withColumn("_up", F.lag("node").over(column())).withColumn("_lab", F.lag("lab").over(column())).withColumn("_y", F.lag("y").over(column()))
+    edges = up.filter((F.col("_lab") == F.col("lab")) & (F.col("_y") == F.col("y") - 1)).select("image", F.col("node").alias("a"), F.col("_up").alias("b")).distinct()
     edges = edges.union(edges.select("image", F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = cells.select("image", "node").distinct().withColumn("root", F.col("node")).checkpoint()
     for _ in range(rounds):
