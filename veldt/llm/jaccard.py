@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +41,7 @@ DEPTH = 3
 #: Regions that linked sets share at least. Sets too small for so many differ in nothing if they link (t >= 67).
 MEET = 3
 SKETCH = 1 << 20
+TEXT_BYTES = 4 << 20
 _CHUNK = 1 << 14
 
 
@@ -150,11 +152,21 @@ def meetings(regions: DataFrame, t: int, leaf: int) -> DataFrame:
     return found.filter((F.col("kind") == 1) | (F.col("met") >= MEET)).drop("met")
 
 
+def _bounded(batch: pa.RecordBatch, *texts: str) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with at most TEXT_BYTES of text, or one row."""
+    upto = np.cumsum(sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in texts))
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + TEXT_BYTES, "right")))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def _compare(pairs: DataFrame, width: int, t: int) -> DataFrame:
     """pairs(a, da, ta, b, db, tb): nodes, digests, texts. The pairs that link."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _bounded(whole, "ta", "tb")):
             left, right = _own_sets(batch.column("ta"), width), _own_sets(batch.column("tb"), width)
             ok = np.ones(len(left), bool)
             for own, d in ((left, batch.column("da")), (right, batch.column("db"))):
