@@ -250,8 +250,7 @@ def cut(rows: DataFrame, width: int, t: int, leaf: int, block: int, depth: int =
         order = Window.partitionBy("region").orderBy(F.xxhash64("node", F.lit(spent)), "node")
         if spent < depth:
             picked = todo.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= pivots)
-            picked = picked.groupBy("region").agg(F.collect_list("text").alias("pivots"))
-            tried = written(_assign(todo.select("region", "node", "d1", "text", "size").join(picked, "region"), width, t), "voronoi")
+            tried = written(_assign(todo, picked.drop("_n"), width, t, block), "voronoi")
             after = tried.groupBy("parent", "region").agg(F.count("*").alias("n"), F.first("size").alias("size"))
             after = after.groupBy("parent").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.first("size").alias("size"))
             good = written(after.filter((F.col("most") <= 0.7 * F.col("size")) & (F.col("all") <= 2.5 * F.col("size"))).select("parent"), "thinned")
@@ -268,22 +267,29 @@ def cut(rows: DataFrame, width: int, t: int, leaf: int, block: int, depth: int =
         todo = written(todo, "regions")
 
 
-def _assign(rows: DataFrame, width: int, t: int) -> DataFrame:
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            regions = np.array(batch.column("region").to_pylist(), object)
-            own = _own_sets(batch.column("text"), width)
-            at, to = [], []
-            for r in sorted(set(regions.tolist())):
-                rows_ = np.flatnonzero(regions == r)
-                points = _own_sets(batch.column("pivots")[int(rows_[0])].values, width)
-                for i, found in zip(rows_.tolist(), nearest([own[i] for i in rows_], points, t), strict=True):
-                    at += [i] * len(found)
-                    to += [f"{r}.{k}" for k in found]
-            took = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([took.column("region"), pa.array(to, pa.string()), took.column("node"), took.column("d1"), took.column("text"), took.column("size")], ["parent", "region", "node", "d1", "text", "size"])
-
-    return rows.mapInArrow(assign, "parent string, region string, node long, d1 long, text string, size long")
+def _assign(rows: DataFrame, picked: DataFrame, width: int, t: int, block: int) -> DataFrame:
+    """rows and picked (region, node, d1, text, size): each row in each of its regions. A region's rows are dealt
+    into runs of about block rows, and its pivots go with every run."""
+    runs = F.ceil(F.col("size") / block).cast("int")
+    own = rows.withColumn("_run", F.pmod(F.xxhash64("node", F.lit(7)), runs).cast("int")).withColumn("_pivot", F.lit(False))
+    to_all = picked.withColumn("_run", F.explode(F.sequence(F.lit(0), runs - 1))).withColumn("_pivot", F.lit(True))
+
+    def assign(group: pa.Table) -> pa.Table:
+        is_pivot = group.column("_pivot").to_numpy()
+        pivots = group.filter(pa.array(is_pivot)).sort_by([("node", "ascending"), ("text", "ascending")])  # ids may repeat
+        docs = group.filter(pa.array(~is_pivot))
+        at, to = [], []
+        if docs.num_rows:
+            points, region = _own_sets(pivots.column("text"), width), docs.column("region")[0].as_py()
+            for i, found in enumerate(nearest(_own_sets(docs.column("text"), width), points, t)):
+                at += [i] * len(found)
+                to += [f"{region}.{k}" for k in found]
+        took = docs.take(pa.array(at, pa.int64()))
+        return pa.table([took.column("region"), pa.array(to, pa.string()), took.column("node"), took.column("d1"), took.column("text"), took.column("size")], ["parent", "region", "node", "d1", "text", "size"])
+
+    columns = ["region", "_run", "_pivot", "node", "d1", "text", "size"]
+    dealt = own.select(*columns).union(to_all.select(*columns)).groupBy("region", "_run")
+    return dealt.applyInArrow(assign, "parent string, region string, node long, d1 long, text string, size long")
 
 
 def _join_regions(rows: DataFrame, width: int, t: int) -> DataFrame:
