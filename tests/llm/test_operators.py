@@ -64,11 +64,13 @@ def test_local_search_empties_bins():
     assert all(sum(lengths[i] for i in b) <= 10 for b in bins) and len(bins) <= packing.lower_bound(lengths, 10) + 1
 
 
+def _shingles(text, width):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
+
+
 def _components(docs, width, t):
-    sets = {}
-    for d, x in docs:
-        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), x or ""))
-        sets[d] = {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
+    sets = {d: _shingles(x, width) for d, x in docs}
     root = {d: d for d in sets}
 
     def find(a):
@@ -100,6 +102,9 @@ def test_jaccard_equals_brute_force_with_cut_regions(spark):
     want = _components(docs, 4, 85)
     assert len(got) == len(docs) + 1
     assert all(want[r.doc_id] == (r.n_shingles, r.component_id) for r in got if r.doc_id is not None)
+    own = {d: frozenset(_shingles(x, 4)) for d, x in docs}
+    linked = {a: sum(100 * len(a & b) >= 85 * len(a | b) for b in set(own.values()) if a and b and a != b) for a in own.values()}
+    assert all(linked[own[r.doc_id]] == r.links for r in got if r.doc_id is not None)
 
 
 def test_suffix_array_and_plcp():

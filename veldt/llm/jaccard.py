@@ -233,15 +233,16 @@ def _own_sets(rows, width: int) -> list[np.ndarray]:
     return out
 
 
-MEMBER = "region string, node long, d1 long, text string"
+#: own: the row's block, -1 without blocks; also: its regions on each level, as "0,3/-1"; cluster: of a p group's row, if it lies in one.
+MEMBER = ["region", "node", "d1", "text", "own", "also", "cluster"]
 
 
 def cut(rows: DataFrame, width: int, t: int, leaf: int, block: int, depth: int = DEPTH, pivots: int = PIVOTS) -> DataFrame:
-    """rows(region, node, d1, text): the same columns with regions of at most leaf documents."""
+    """rows of MEMBER: the same columns with regions of at most leaf documents."""
     done, todo, spent = None, rows, 0
     while True:
         sizes = written(todo.groupBy("region").agg(F.count("*").alias("size")), "regions")
-        small = todo.join(sizes.filter(F.col("size") <= leaf).select("region"), "region", "left_semi")
+        small = todo.join(sizes.filter(F.col("size") <= leaf).select("region"), "region", "left_semi").select(*MEMBER)
         done = small if done is None else done.union(small)
         large = sizes.filter(F.col("size") > leaf)
         if large.isEmpty():
@@ -255,20 +256,20 @@ def cut(rows: DataFrame, width: int, t: int, leaf: int, block: int, depth: int =
             after = after.groupBy("parent").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.first("size").alias("size"))
             good = written(after.filter((F.col("most") <= 0.7 * F.col("size")) & (F.col("all") <= 2.5 * F.col("size"))).select("parent"), "thinned")
             stuck = todo.join(good, F.col("region") == F.col("parent"), "left_anti")
-            todo = tried.join(good, "parent", "left_semi").select("region", "node", "d1", "text")
+            todo = tried.join(good, "parent", "left_semi").select(*MEMBER)
         else:
-            stuck, todo = todo, todo.limit(0).select("region", "node", "d1", "text")
+            stuck, todo = todo, todo.limit(0).select(*MEMBER)
         blocks = F.ceil(F.col("size") / block).cast("int")
         own = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) * blocks / (1 << 30)
-        stuck = stuck.withColumn("_own", F.floor(own).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        pair = F.concat_ws("/", "region", F.least("_own", "_other"), F.greatest("_own", "_other"))
-        done = done.union(stuck.select(pair.alias("region"), "node", "d1", "text"))
+        stuck = stuck.withColumn("own", F.floor(own).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        pair = F.concat_ws("/", "region", F.least("own", "_other"), F.greatest("own", "_other"))
+        done = done.union(stuck.withColumn("region", pair).select(*MEMBER))
         spent += 1
         todo = written(todo, "regions")
 
 
 def _assign(rows: DataFrame, picked: DataFrame, width: int, t: int, block: int) -> DataFrame:
-    """rows and picked (region, node, d1, text, size): each row in each of its regions. A region's rows are dealt
+    """rows and picked (MEMBER and size): each row in each of its regions. A region's rows are dealt
     into runs of about block rows, and its pivots go with every run."""
     runs = F.ceil(F.col("size") / block).cast("int")
     own = rows.withColumn("_run", F.pmod(F.xxhash64("node", F.lit(7)), runs).cast("int")).withColumn("_pivot", F.lit(False))
@@ -278,21 +279,61 @@ def _assign(rows: DataFrame, picked: DataFrame, width: int, t: int, block: int)
         is_pivot = group.column("_pivot").to_numpy()
         pivots = group.filter(pa.array(is_pivot)).sort_by([("node", "ascending"), ("text", "ascending")])  # ids may repeat
         docs = group.filter(pa.array(~is_pivot))
-        at, to = [], []
+        at, to, among = [], [], []
+        before = docs.column("also").to_pylist()
         if docs.num_rows:
             points, region = _own_sets(pivots.column("text"), width), docs.column("region")[0].as_py()
             for i, found in enumerate(nearest(_own_sets(docs.column("text"), width), points, t)):
                 at += [i] * len(found)
                 to += [f"{region}.{k}" for k in found]
+                among += [(before[i] + "/" if before[i] else "") + ",".join(map(str, found))] * len(found)
         took = docs.take(pa.array(at, pa.int64()))
-        return pa.table([took.column("region"), pa.array(to, pa.string()), took.column("node"), took.column("d1"), took.column("text"), took.column("size")], ["parent", "region", "node", "d1", "text", "size"])
+        return pa.table([took.column("region"), pa.array(to, pa.string()), took.column("node"), took.column("d1"), took.column("text"), took.column("own"), pa.array(among, pa.string()), took.column("cluster"), took.column("size")], ["parent", *MEMBER, "size"])
 
-    columns = ["region", "_run", "_pivot", "node", "d1", "text", "size"]
+    columns = [*MEMBER, "_run", "_pivot", "size"]
     dealt = own.select(*columns).union(to_all.select(*columns)).groupBy("region", "_run")
-    return dealt.applyInArrow(assign, "parent string, region string, node long, d1 long, text string, size long")
+    return dealt.applyInArrow(assign, "parent string, region string, node long, d1 long, text string, own int, also string, cluster long, size long")
+
+
+def forest(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Links that connect what found connects, one less than nodes."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in found:
+        a, b = top(i), top(j)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((i, j))
+    return out
+
+
+def _counts_here(region: str, own: list[int], also: list[str], cluster: list[int | None]):
+    """Whether a link of two members counts in this region: each counts once, in the first region of every level that
+    has both, and with blocks in the one region of two blocks, or of one with itself."""
+    home, *blocks = region.split("/")
+    path = [int(k) for k in home.split(".")[1:]]
+    levels = [[set(map(int, level.split(","))) for level in a.split("/")] if a else [] for a in also]
+
+    def here(i: int, j: int) -> bool:
+        if cluster[i] is not None and cluster[i] == cluster[j]:
+            return False
+        if blocks and own[i] == own[j] and blocks[0] != blocks[1]:
+            return False
+        return all(k == min(x & y) for k, x, y in zip(path, levels[i], levels[j], strict=True))
+
+    return here
 
 
 def _join_regions(rows: DataFrame, width: int, t: int) -> DataFrame:
+    """Of each region: a forest of its links (a, b), and how many count here for each member (a, links)."""
+
     def join(group: pa.Table) -> pa.Table:
         own = _own_sets(group.column("text"), width)
         sizes = np.array([len(x) for x in own], np.int64)
@@ -301,9 +342,18 @@ def _join_regions(rows: DataFrame, width: int, t: int) -> DataFrame:
         keep = {int(nodes[i]): i for i in range(len(own)) if d1[i] == want[i]}  # ids may repeat with other texts
         at = sorted(keep.values())
         found = links([own[i] for i in at], t)
-        return pa.table({"a": pa.array([int(nodes[at[i]]) for i, _ in found], pa.int64()), "b": pa.array([int(nodes[at[j]]) for _, j in found], pa.int64())})
+        of = lambda c: [group.column(c)[i].as_py() for i in at]
+        here = _counts_here(group.column("region")[0].as_py(), of("own"), of("also"), of("cluster"))
+        number = np.zeros(len(at), np.int64)
+        for i, j in found:
+            if here(i, j):
+                number[[i, j]] += 1
+        tree, some = forest(found), np.flatnonzero(number).tolist()
+        id_ = [int(nodes[i]) for i in at]
+        a, b = [id_[i] for i, _ in tree] + [id_[i] for i in some], [id_[j] for _, j in tree] + [None] * len(some)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "links": pa.array([None] * len(tree) + number[some].tolist(), pa.int64())})
 
-    return rows.groupBy("region").applyInArrow(join, "a long, b long")
+    return rows.groupBy("region").applyInArrow(join, "a long, b long, links long")
 
 
 def jaccard_components(docs: DataFrame, width: int, t: int, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
@@ -316,33 +366,43 @@ def jaccard_components(docs: DataFrame, width: int, t: int, leaf: int = LEAF, bl
     # Here d1 alone names a set; should two sets share it, more is compared than need be.
     met = written(meetings(known.select("n", "d1", F.explode("first").alias("shingle")), t, leaf), "meetings")
     release(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     side = lambda x: classes.select(F.col("d1").alias(f"d{x}"), F.col("node").alias(x), F.col("first_id").alias(f"i{x}"))
-    text = lambda x: texts.select(F.col("id").alias(f"i{x}"), F.col("text").alias(f"t{x}"))
-    near = met.filter("kind = 0").select("a", "b")
+    clusters = written(components(met.filter("kind = 1"), "a", "b"), "clusters")
+    # what lies in one cluster is compared there
+    within = lambda x: clusters.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    near = met.filter("kind = 0").select("a", "b").join(within("a"), "a", "left").join(within("b"), "b", "left")
+    near = written(near.filter("ca is null or cb is null or ca <> cb").select("a", "b"), "near")
     groups = written(components(near, "a", "b").select(F.col("node").alias("_d1"), F.col("component").alias("group")), "groups")
     sizes = groups.groupBy("group").agg(F.count("*").alias("size"))
+    # texts that any region or pair asks for, once
+    wanted = groups.select("_d1").union(clusters.select(F.col("node").alias("_d1"))).distinct()
+    wanted = classes.join(wanted, F.col("d1") == F.col("_d1")).select(F.col("first_id").alias("id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    texts = written(texts.join(wanted, "id", "left_semi"), "texts")
+    release(spark)
+    text = lambda x: texts.select(F.col("id").alias(f"i{x}"), F.col("text").alias(f"t{x}"))
     # small groups of pairs bring each text once; pairs of larger groups bring both texts
-    few = groups.join(sizes.filter(F.col("size") <= leaf), "group")
-    members = classes.join(few, F.col("d1") == F.col("_d1")).select(F.concat(F.lit("p"), F.col("group").cast("string")).alias("region"), "node", "d1", F.col("first_id").alias("id"))
-    found = written(_join_regions(members.join(texts, "id").select("region", "node", "d1", "text"), width, t), "links")
+    few = groups.join(sizes.filter(F.col("size") <= leaf), "group").join(clusters.withColumnRenamed("node", "_d1"), "_d1", "left")
+    members = classes.join(few, F.col("d1") == F.col("_d1")).select(F.concat(F.lit("p"), F.col("group").cast("string")).alias("region"), "node", "d1", F.col("component").alias("cluster"), F.col("first_id").alias("id"))
+    alone = lambda rows: rows.join(texts, "id").withColumn("own", F.lit(-1)).withColumn("also", F.lit("")).select(*MEMBER)
+    found = written(_join_regions(alone(members), width, t), "links")
     release(spark)
     many = groups.join(sizes.filter(F.col("size") > leaf), "group").select(F.col("_d1").alias("a"))
     pairs = near.join(many, "a").select(F.col("a").alias("da"), F.col("b").alias("db")).join(side("a"), "da").join(side("b"), "db")
     if not pairs.isEmpty():
-        found = found.union(written(_compare(pairs.join(text("a"), "ia").join(text("b"), "ib"), width, t), "links"))
+        compared = written(_compare(pairs.join(text("a"), "ia").join(text("b"), "ib"), width, t).distinct(), "links")
+        ends = compared.select(F.explode(F.array("a", "b")).alias("a")).groupBy("a").agg(F.count("*").alias("links"))
+        found = found.union(compared.withColumn("links", F.lit(None).cast("long"))).union(ends.select("a", F.lit(None).cast("long").alias("b"), "links"))
         release(spark)
-    large = met.filter("kind = 1")
-    if not large.isEmpty():
-        clusters = written(components(large, "a", "b"), "clusters")
+    if not clusters.isEmpty():
         members = classes.join(clusters.withColumnRenamed("node", "_d1"), F.col("d1") == F.col("_d1"))
-        members = members.select(F.col("component").cast("string").alias("region"), "node", "d1", F.col("first_id").alias("id"))
-        rows = written(members.join(texts, "id").select("region", "node", "d1", "text"), "members")
-        found = found.union(_join_regions(cut(rows, width, t, leaf, block), width, t))
-    found = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "all-links")
+        members = members.select(F.col("component").cast("string").alias("region"), "node", "d1", F.lit(None).cast("long").alias("cluster"), F.col("first_id").alias("id"))
+        found = found.union(_join_regions(cut(written(alone(members), "members"), width, t, leaf, block), width, t))
+    found = written(found, "all-links")
     release(spark)
-    joined = components(found, "a", "b").withColumnRenamed("component", "_root")
-    degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    tree = found.filter("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    joined = components(tree, "a", "b").withColumnRenamed("component", "_root")
+    degree = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     named_ = classes.join(joined, "node", "left").join(degree, "node", "left").withColumn("_root", F.coalesce("_root", "node"))
     roots = named_.groupBy("_root").agg(F.min("first_id").alias("component_id"))
     result = written(named_.join(roots, "_root").select("n", "d1", "d2", "component_id", F.coalesce("links", F.lit(0)).alias("links"), "class_size"), "components")
