@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import discard, written_at
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -23,9 +23,11 @@ def _small(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     """node, component: the smallest node reachable, for every node that has an edge."""
     now = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct()
-    now, before = written(now, "edges"), None
+    (now, path), before = written_at(now, "edges"), None
     for _ in range(rounds):
-        now = written(_small(_large(now).filter("a <> b").distinct()).filter("a <> b").distinct(), "edges")
+        now, after = written_at(_small(_large(now).filter("a <> b").distinct()).filter("a <> b").distinct(), "edges")
+        discard(now.sparkSession, path)
+        path = after
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before:
             break

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import parts, release, table, written
+from .shared import discard, parts, release, table, written, written_at
 from .shingles import mix, sets
 
 LEAF, BLOCK = 160, 80
@@ -359,12 +359,14 @@ def _join_regions(rows: DataFrame, width: int, t: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, width: int, t: int, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
     """docs(doc_id, text): doc_id, n_shingles, component_id, links (of its class to others), class_size."""
     spark = docs.sparkSession
-    signed = written(signatures(docs, width, t, sketch(docs, width)), "signatures")
-    known = signed.filter("doc_id is not null and n > 0")
+    whole, path = written_at(signatures(docs, width, t, sketch(docs, width)), "signatures")
+    signed = written(whole.drop("first"), "keys")
+    known = whole.filter("doc_id is not null and n > 0")
     least = known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("class_size"))
     classes = written(least.withColumn("node", F.monotonically_increasing_id()), "classes")
     # Here d1 alone names a set; should two sets share it, more is compared than need be.
     met = written(meetings(known.select("n", "d1", F.explode("first").alias("shingle")), t, leaf), "meetings")
+    discard(spark, path)
     release(spark)
     side = lambda x: classes.select(F.col("d1").alias(f"d{x}"), F.col("node").alias(x), F.col("first_id").alias(f"i{x}"))
     clusters = written(components(met.filter("kind = 1"), "a", "b"), "clusters")

@@ -29,12 +29,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes df as Parquet into the shared folder and reads it again."""
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Cuts lineage: writes df as Parquet into the shared folder and reads it again; the path, for discard."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    return written_at(df, name)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a table of written_at, once other written tables stand for all that was read from it."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def parts(spark: SparkSession, at_least: int = 1) -> int:
