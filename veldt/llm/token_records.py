@@ -26,8 +26,9 @@ from .shared import new_path, parts, table, written
 from .tokens import Encoder, crc, tokenizer_path
 
 SHARD_BYTES = 64 << 20
-_HEAD = struct.Struct("<qBBI")
-_FRAME = struct.Struct("<QI")
+#: Layouts, as text: compiled ones do not travel to executors.
+_HEAD = "<qBBI"
+_FRAME = "<QI"
 MANIFEST = "part int, number int, path string, index_path string, records long, tokens long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -45,7 +46,7 @@ def frame(payload: bytes) -> bytes:
 
 def unframe(data: memoryview, at: int) -> tuple[memoryview, int]:
     """The payload at `at` and where the next record begins; ValueError on damage."""
-    size, check = _FRAME.unpack_from(data, at)
+    size, check = struct.unpack_from(_FRAME, data, at)
     if masked(bytes(data[at : at + 8])) != check:
         raise ValueError(f"damaged length at {at}")
     end = at + 12 + size
@@ -56,12 +57,12 @@ def unframe(data: memoryview, at: int) -> tuple[memoryview, int]:
 
 
 def pack(doc_id: int | None, ids: np.ndarray, width: int) -> bytes:
-    return _HEAD.pack(doc_id or 0, doc_id is not None, width, len(ids)) + ids.astype(f"<u{width}").tobytes()
+    return struct.pack(_HEAD, doc_id or 0, doc_id is not None, width, len(ids)) + ids.astype(f"<u{width}").tobytes()
 
 
 def unpack(payload: memoryview) -> tuple[int | None, np.ndarray]:
-    doc_id, known, width, n = _HEAD.unpack_from(payload, 0)
-    return (doc_id if known else None), np.frombuffer(payload, f"<u{width}", n, _HEAD.size)
+    doc_id, known, width, n = struct.unpack_from(_HEAD, payload, 0)
+    return (doc_id if known else None), np.frombuffer(payload, f"<u{width}", n, struct.calcsize(_HEAD))
 
 
 def _filesystem(uri: str):
