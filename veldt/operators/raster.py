@@ -35,7 +35,8 @@ def crack_length(grid: DataFrame) -> DataFrame:
 
 def adjacency(grid: DataFrame) -> DataFrame:
     """rag(image, a, b, len): shared boundary of every two touching regions, both ways."""
-    pairs = grid.select("image", F.col("lab").alias("a"), F.explode(F.array(F.lead("lab").over(row()), F.lead("lab").over(column()))).alias("b"))
+    sides = grid.select("image", F.col("lab").alias("a"), F.lead("lab").over(row()).alias("_r"), F.lead("lab").over(column()).alias("_d"))
+    pairs = sides.select("image", "a", F.explode(F.array("_r", "_d")).alias("b"))
     pairs = pairs.filter(F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     both = pairs.union(pairs.select("image", F.col("b").alias("a"), F.col("a").alias("b")))
     return both.groupBy("image", "a", "b").agg(F.count("*").alias("len"))
