@@ -126,3 +126,37 @@ def median_split(points: DataFrame, axis: str, by: list[str]) -> DataFrame:
     at = F.min(F.when(F.col("_cum") * 2 >= F.col("_all"), F.col("_i"))).over(all_)
     at = F.greatest(F.lit(1), F.least(at, F.col("_n") - 1))
     return rows.withColumn("side", F.when(F.col("_i") <= at, 0).otherwise(1)).drop("_i", "_cum", "_n", "_all")
+
+
+def cell_lookup(points: DataFrame, cells: DataFrame, bits: int) -> DataFrame:
+    """Points with their cell's row of a cell table, by an equality join on the cell."""
+    at = [F.shiftright(F.col(c), 8 - bits).alias(f"c{c}") for c in "rgb"]
+    return points.select("*", *at).join(cells, ["cr", "cg", "cb"])
+
+
+def interior_cells(palette: DataFrame, bits: int) -> DataFrame:
+    """A cell table with `interior`: the cell's entry is nearest (lowest index on ties) to every point of the cell.
+
+    The gap between two squared distances is linear in the point, so its least value lies in a corner that each
+    axis settles on its own.
+    """
+    side = 1 << (8 - bits)
+    own = palette.select("idx", *[F.col(c).alias(f"o{c}") for c in "rgb"])
+    other = palette.select(F.col("idx").alias("other"), *[F.col(c).alias(f"n{c}") for c in "rgb"])
+    gap = F.lit(0)
+    for c in "rgb":
+        lo = F.col(f"c{c}") * side
+        q, o = F.col(f"n{c}"), F.col(f"o{c}")
+        gap = gap + q * q - o * o - 2 * (q - o) * F.when(q > o, lo + side - 1).otherwise(lo)
+    wins = (F.col("other") == F.col("idx")) | (gap > 0) | ((gap == 0) & (F.col("idx") < F.col("other")))
+    rows = cell_table(palette, bits).join(F.broadcast(own), "idx").join(F.broadcast(other)).withColumn("_wins", wins)
+    return rows.groupBy("cr", "cg", "cb", "idx").agg(F.min("_wins").alias("interior"))
+
+
+def nearest_by_cells(points: DataFrame, palette: DataFrame, bits: int, key: list[str]) -> DataFrame:
+    """Exact nearest entries: interior cells answer by lookup, only points of other cells meet the palette."""
+    found = cell_lookup(points, interior_cells(palette, bits), bits)
+    hits = found.filter("interior").join(F.broadcast(palette.select("idx", *[F.col(c).alias(f"p{c}") for c in "rgb"])), "idx")
+    d = colour.dist2(tuple(F.col(c) for c in "rgb"), tuple(F.col(f"p{c}") for c in "rgb")).cast("long")
+    rest = found.filter("not interior").select(*points.columns)
+    return hits.select(*key, d.alias("d"), "idx").union(nearest(rest, palette.select("idx", *[F.col(c).alias(f"p{c}") for c in "rgb"]), d, key))
