@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,28 +98,43 @@ def hue_angle(b: Column, a: Column) -> Column:
     return F.when((a == 0) & (b == 0), 0.0).when(h < 0, h + 360).otherwise(h)
 
 
+def _let(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
+    """body over named values, each worked out once: plain columns would be copied into every place of use."""
+    return F.element_at(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body), 1)
+
+
 def ciede2000(p: tuple, q: tuple) -> Column:
     """CIEDE2000 with unit weights (Sharma, Wu, Dalal 2005)."""
-    (l1, a1, b1), (l2, a2, b2) = p, q
-    mean_c = (F.hypot(a1, b1) + F.hypot(a2, b2)) / 2
-    c7 = F.pow(mean_c, F.lit(7.0))
-    g = 0.5 * (1 - F.sqrt(c7 / (c7 + F.lit(25.0**7))))
-    x1, x2 = (1 + g) * a1, (1 + g) * a2
-    c1, c2 = F.hypot(x1, b1), F.hypot(x2, b2)
-    h1, h2 = hue_angle(b1, x1), hue_angle(b2, x2)
-    grey = (c1 * c2) == 0
-    dh = F.when(grey, 0.0).when(F.abs(h2 - h1) <= 180, h2 - h1).when(h2 - h1 > 180, h2 - h1 - 360).otherwise(h2 - h1 + 360)
-    dl, dc, dbig = l2 - l1, c2 - c1, 2 * F.sqrt(c1 * c2) * F.sin(F.radians(dh / 2))
-    lm, cm = (l1 + l2) / 2, (c1 + c2) / 2
-    hs = h1 + h2
-    hm = F.when(grey, hs).when(F.abs(h1 - h2) <= 180, hs / 2).when(hs < 360, (hs + 360) / 2).otherwise((hs - 360) / 2)
+    return _let(dict(zip(("l1", "a1", "b1", "l2", "a2", "b2"), (*p, *q), strict=True)), _ciede_chroma)
+
+
+def _ciede_chroma(s: Column) -> Column:
+    c7 = F.pow((F.hypot(s.a1, s.b1) + F.hypot(s.a2, s.b2)) / 2, F.lit(7.0))
+    g = 1.5 - 0.5 * F.sqrt(c7 / (c7 + F.lit(25.0**7)))
+    keep = {k: s[k] for k in ("l1", "b1", "l2", "b2")}
+    return _let(keep | {"x1": g * s.a1, "x2": g * s.a2}, _ciede_hue)
+
+
+def _ciede_hue(s: Column) -> Column:
+    polar = {"c1": F.hypot(s.x1, s.b1), "c2": F.hypot(s.x2, s.b2), "h1": hue_angle(s.b1, s.x1), "h2": hue_angle(s.b2, s.x2)}
+    return _let({"l1": s.l1, "l2": s.l2} | polar, _ciede_means)
+
+
+def _ciede_means(s: Column) -> Column:
+    grey, gap, hs = (s.c1 * s.c2) == 0, s.h2 - s.h1, s.h1 + s.h2
+    dh = F.when(grey, 0.0).when(F.abs(gap) <= 180, gap).when(gap > 180, gap - 360).otherwise(gap + 360)
+    hm = F.when(grey, hs).when(F.abs(gap) <= 180, hs / 2).when(hs < 360, (hs + 360) / 2).otherwise((hs - 360) / 2)
+    big = 2 * F.sqrt(s.c1 * s.c2) * F.sin(F.radians(dh / 2))
+    return _let({"dl": s.l2 - s.l1, "dc": s.c2 - s.c1, "dh": big, "lm": (s.l1 + s.l2) / 2, "cm": (s.c1 + s.c2) / 2, "hm": hm}, _ciede_terms)
+
+
+def _ciede_terms(s: Column) -> Column:
+    hm, cm7, off = s.hm, F.pow(s.cm, F.lit(7.0)), (s.lm - 50) * (s.lm - 50)
     t = 1 - 0.17 * F.cos(F.radians(hm - 30)) + 0.24 * F.cos(F.radians(2 * hm)) + 0.32 * F.cos(F.radians(3 * hm + 6)) - 0.20 * F.cos(F.radians(4 * hm - 63))
-    cm7 = F.pow(cm, F.lit(7.0))
     turn = -2 * F.sqrt(cm7 / (cm7 + F.lit(25.0**7))) * F.sin(F.radians(60 * F.exp(-F.pow((hm - 275) / 25, F.lit(2.0)))))
-    off = (lm - 50) * (lm - 50)
-    sl, sc, sh = 1 + 0.015 * off / F.sqrt(20 + off), 1 + 0.045 * cm, 1 + 0.015 * cm * t
-    u, v, w = dl / sl, dc / sc, dbig / sh
-    return F.sqrt(u * u + v * v + w * w + turn * v * w)
+    sl, sc, sh = 1 + 0.015 * off / F.sqrt(20 + off), 1 + 0.045 * s.cm, 1 + 0.015 * s.cm * t
+    parts = {"u": s.dl / sl, "v": s.dc / sc, "w": s.dh / sh, "turn": turn}
+    return _let(parts, lambda z: F.sqrt(z.u * z.u + z.v * z.v + z.w * z.w + z.turn * z.v * z.w))
 
 
 def morton3(a: Column, b: Column, c: Column) -> Column:
