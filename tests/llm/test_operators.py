@@ -107,6 +107,14 @@ def test_jaccard_equals_brute_force_with_cut_regions(spark):
     assert all(linked[own[r.doc_id]] == r.links for r in got if r.doc_id is not None)
 
 
+def test_jaccard_copy_without_id_hides_no_link(spark):
+    words = [f"w{i}" for i in range(60)]
+    text, near = " ".join(words), " ".join([*words[:-1], "other"])
+    docs = spark.createDataFrame([(None, text), (1, text), (2, near)], DOCS).coalesce(1)
+    got = {r.doc_id: (r.component_id, r.links, r.class_size) for r in jaccard.jaccard_components(docs, 4, 85).collect()}
+    assert got == {None: (None, 0, 1), 1: (1, 1, 1), 2: (1, 1, 1)}
+
+
 def test_suffix_array_and_plcp():
     rng = np.random.default_rng(1)
     for trial in range(60):

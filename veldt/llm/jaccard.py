@@ -89,18 +89,21 @@ SIGNATURE = "doc_id long, n long, d1 long, d2 long, first array<long>"
 
 
 def signatures(docs: DataFrame, width: int, t: int, levels: np.ndarray) -> DataFrame:
-    """Set size, digest and first shingles in the global order; of equal sets in a batch only one shows shingles."""
+    """Set size, digest and first shingles in the global order; of equal sets in a batch only one shows shingles, of
+    those with a doc_id (the others take no part)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, seen = batch.column(0), set()
+            known = ids.is_valid().to_numpy(zero_copy_only=False)
             for i, hashes, sizes in sets(batch.column(1), width):
                 d1, d2 = _digest(hashes, sizes)
                 need = _needed(sizes, t)
                 for r, key in enumerate(zip(sizes.tolist(), d1.tolist(), d2.tolist(), strict=True)):
-                    if key in seen:
+                    if key in seen or not known[i + r]:
                         need[r] = 0
-                    seen.add(key)
+                    else:
+                        seen.add(key)
                 owner = np.repeat(np.arange(len(sizes)), sizes)
                 order = np.lexsort((hashes, levels[(hashes >> np.uint64(44)).astype(np.int64)], owner))
                 rank = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
