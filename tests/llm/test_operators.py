@@ -115,6 +115,14 @@ def test_jaccard_copy_without_id_hides_no_link(spark):
     assert got == {None: (None, 0, 1), 1: (1, 1, 1), 2: (1, 1, 1)}
 
 
+def test_near_duplicates_go_by_row(spark):
+    words = [f"w{i}" for i in range(60)]
+    text, near, own, lone = " ".join(words), " ".join([*words[:-1], "other"]), " ".join(words[::-1]), " ".join(words[::2])
+    docs = [(5, near), (1, text), (5, own), (5, own), (None, text), (None, lone), (None, lone), (None, None), (8, "")]
+    got = jaccard.stage(spark, spark.createDataFrame(docs, DOCS), "").collect()
+    assert sorted(map(str, got)) == sorted(map(str, spark.createDataFrame([(1, text), (5, own), (None, lone), (None, None), (8, "")], DOCS).collect()))
+
+
 def test_suffix_array_and_plcp():
     rng = np.random.default_rng(1)
     for trial in range(60):

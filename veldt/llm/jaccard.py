@@ -428,9 +428,15 @@ def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: five-word shingles, similarity 0.8; of each component the document with the smallest doc_id
-    stays (rows that repeat this id stay with it), and so do all rows without shingles or doc_id."""
+    """Pipeline stage: five-word shingles, similarity 0.8; every row takes part under a number of its own, whatever its
+    doc_id. Of each component one row stays, that with the smallest doc_id (rows without one come last), and so do all
+    rows without shingles."""
     columns = docs.columns
-    found = jaccard_components(docs, 5, 80)
-    gone = found.filter("doc_id is not null and component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*columns)
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), 5, 80)
+    linked = found.filter("links > 0 or class_size > 1").select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row")
+    members = written(linked.join(rows.select("_row", order.alias("_order")), "_row"), "members")
+    kept = members.groupBy("component_id").agg(F.min("_order").getField("_row").alias("_row"))
+    gone = members.select("_row").join(kept, "_row", "left_anti")
+    return rows.join(gone, "_row", "left_anti").select(*columns)
