@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,3 +75,19 @@ def test_bootstrap_bounds():
     assert stats.bootstrap_bounds([]) == (0.0, 0.0)
     low, high = stats.bootstrap_bounds([-1.0, -2.0, -3.0], 500)
     assert -3 <= low <= high <= -1
+
+
+@pytest.mark.parametrize("name", ["c4_lloyd", "c4_kmeans_maximin", "m4_hashed_bootstrap_10000"])
+def test_whole_rounds_parity(spark, name):
+    test_parity(spark, name)
+
+
+def test_registered_bootstrap_takes_all_resamples(spark):
+    from veldt.plans.curve_queries import _deltas
+
+    got = catalog.QUERIES["m4_m5_bootstrap"](spark, DATA).first()
+    rows = sorted(_deltas(spark, DATA).collect(), key=lambda r: r["item"])
+    for want, suffix in (([r.delta for r in rows], ""), ([r.delta / r.baseline * 100.0 for r in rows], "_pct")):
+        rng = random.Random(0xC0FFEE)
+        means = sorted(sum(want[rng.randrange(len(want))] for _ in want) / len(want) for _ in range(10_000))
+        assert got["ci_low" + suffix] == pytest.approx(means[250], rel=1e-12) and got["ci_high" + suffix] == pytest.approx(means[9750], rel=1e-12)

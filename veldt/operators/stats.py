@@ -63,17 +63,20 @@ def bootstrap_bounds(values: list[float], rounds: int = 10_000, alpha: float = 0
 
 
 def bootstrap(rows: DataFrame, by: list[str], item: str = "item", rounds: int = 10_000) -> DataFrame:
-    """rows(by, item, delta): interval of the mean and the decision (KEEP only if all of it is below zero)."""
+    """rows(by, item, baseline, delta): interval of the mean and the decision (KEEP only if all of it is below zero), and
+    the interval of the mean of the items' percentages (0 where the baseline is not above 0)."""
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", ci_low double, ci_high double, decision string"
+    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", ci_low double, ci_high double, ci_low_pct double, ci_high_pct double, decision string"
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by(item)
         low, high = bootstrap_bounds(group.column("delta").to_pylist(), rounds)
+        low_pct, high_pct = bootstrap_bounds(group.column("pct").to_pylist(), rounds)
         out = {c: group.column(c)[:1] for c in by}
-        return pa.table(out | {"ci_low": [low], "ci_high": [high], "decision": ["KEEP" if high < 0 else "DROP"]})
+        return pa.table(out | {"ci_low": [low], "ci_high": [high], "ci_low_pct": [low_pct], "ci_high_pct": [high_pct], "decision": ["KEEP" if high < 0 else "DROP"]})
 
-    return rows.select(*by, item, "delta").groupBy(*by).applyInArrow(run, schema)
+    pct = F.when(F.col("baseline") > 0, F.col("delta") / F.col("baseline") * 100.0).otherwise(0.0)
+    return rows.select(*by, item, "delta", pct.alias("pct")).groupBy(*by).applyInArrow(run, schema)
 
 
 def hashed_bootstrap(rows: DataFrame, by: list[str], item: str, rounds: int) -> DataFrame:

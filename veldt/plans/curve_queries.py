@@ -56,8 +56,9 @@ QUERIES = {
     "m3_percentiles": lambda s, d: _r(stats.percentile_linear(_samples(s, d), "value", ["event_type"]), ("p50", "p95", "p99")),
     "j3_f2_u1_deltas": lambda s, d: _r(stats.deltas(*_runs(s, d)), ("baseline", "candidate", "delta", "pct"), 4),
     "m6_m7_a26_summary": lambda s, d: _r(stats.summary(_deltas(s, d), ["exp"]), ("mean_delta", "median_delta", "pct_of_totals", "mean_pct"), 5),
-    "m4_m5_bootstrap": lambda s, d: stats.bootstrap(_deltas(s, d), ["exp"], rounds=2000),
+    "m4_m5_bootstrap": lambda s, d: stats.bootstrap(_deltas(s, d), ["exp"]),
     "m4_hashed_bootstrap": lambda s, d: _r(stats.hashed_bootstrap(_deltas(s, d), ["exp"], "item", 200), ("ci_low", "ci_high"), 5),
+    "m4_hashed_bootstrap_10000": lambda s, d: _r(stats.hashed_bootstrap(_deltas(s, d), ["exp"], "item", 10_000), ("ci_low", "ci_high"), 5),
     "j5_interpolation": j5,
     "m11_undominated": lambda s, d: stats.undominated(table(s, d, "supplier").select("s_suppkey", "s_nationkey", F.abs("s_acctbal").alias("bal"), (F.col("s_suppkey") % 7).alias("k")), ["s_nationkey", "bal", "k"]).select("s_suppkey"),
     "f3_u2_excluded": lambda s, d: table(s, d, "orders").select("o_orderkey").join(table(s, d, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti"),
@@ -82,3 +83,5 @@ ORACLE_SQL = {
     "f9_m24_thresholds": "SELECT l_returnflag, count(*) FILTER (l_quantity > 1) AS over1, count(*) FILTER (l_quantity > 2) AS over2, count(*) FILTER (l_quantity > 4) AS over4, count(*) FILTER (l_quantity > 8) AS over8 FROM lineitem GROUP BY 1",
     "o9_target": CURVE + " SELECT codec, min({'e': abs(y - 1000000), 'x': x}).x AS x FROM c GROUP BY codec",
 }
+
+ORACLE_SQL["m4_hashed_bootstrap_10000"] = ORACLE_SQL["m4_hashed_bootstrap"].replace("range(200)", "range(10000)").replace("r = 5)", "r = 250)").replace("r = 195)", "r = 9750)")

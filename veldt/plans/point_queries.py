@@ -90,18 +90,36 @@ s AS (SELECT *, CAST(coalesce(lag(cuts) OVER (PARTITION BY image ORDER BY z), 0)
 SELECT image, segment, CAST(sum(cnt) AS BIGINT) AS w, round(sum(r * cnt) / sum(cnt), 6) AS r, round(sum(g * cnt) / sum(cnt), 6) AS g, round(sum(b * cnt) / sum(cnt), 6) AS b FROM s GROUP BY ALL"""
 
 
-def c4(spark, d, rounds=2, n=8):
-    """Lloyd steps from the popular palette; an empty cluster keeps its centre."""
-    hist = _hist(spark, d)
-    pal = points.popularity(hist, n).select("idx", *[F.col(c).cast("double").alias(f"p{c}") for c in "rgb"])
+def _lloyd(hist, pal, rounds):
+    """Lloyd steps of a palette(idx, pr, pg, pb); an empty cluster keeps its centre."""
     dist = colour.dist2(tuple(F.col(c) for c in "rgb"), tuple(F.col(f"p{c}") for c in "rgb"))
     for _ in range(rounds):
         near = points.nearest(hist, pal, dist, ["key", "r", "g", "b", "cnt"])
         means = near.groupBy("idx").agg(*[(F.sum(F.col(c) * F.col("cnt")) / F.sum("cnt")).alias(f"m{c}") for c in "rgb"])
-        pal = pal.join(means, "idx", "left").select("idx", *[F.coalesce(f"m{c}", f"p{c}").alias(f"p{c}") for c in "rgb"])
+        pal = pal.join(means, "idx", "left").select("idx", *[F.coalesce(f"m{c}", f"p{c}").alias(f"p{c}") for c in "rgb"]).checkpoint()
     return pal.select(F.col("idx").cast("long").alias("idx"), *[F.round(f"p{c}", 6).alias(f"p{c}") for c in "rgb"])
 
 
+def c4(spark, d, rounds=2, n=8):
+    """Lloyd steps from the popular palette: the two steps of its SQL. c4_kmeans_maximin has the reference's ten."""
+    hist = _hist(spark, d)
+    return _lloyd(hist, points.popularity(hist, n).select("idx", *[F.col(c).cast("double").alias(f"p{c}") for c in "rgb"]), rounds)
+
+
+def c4_maximin(spark, d, rounds=10, n=8):
+    """Ten Lloyd steps from farthest points: the heaviest colour first, then the one farthest from all chosen (ties: smaller key)."""
+    hist = _hist(spark, d).checkpoint()
+    chosen = [tuple(hist.orderBy(F.desc("cnt"), "key").select("r", "g", "b").first() or ())]
+    while chosen[0] and len(chosen) < n:
+        d2 = [colour.dist2(tuple(F.col(c) for c in "rgb"), tuple(F.lit(v) for v in p)) for p in chosen]
+        far = hist.withColumn("_far", F.least(*d2) if len(d2) > 1 else d2[0]).filter("_far > 0").orderBy(F.desc("_far"), "key").select("r", "g", "b").first()
+        if far is None:
+            break
+        chosen.append(tuple(far))
+    rows = [(i, *map(float, p)) for i, p in enumerate(chosen) if p]
+    return _lloyd(hist, spark.createDataFrame(rows, "idx int, pr double, pg double, pb double"), rounds)
+
+
 def _step(prev: str, name: str) -> str:
     return f""", {name} AS (SELECT p.idx, coalesce(m.r, p.pr) AS pr, coalesce(m.g, p.pg) AS pg, coalesce(m.b, p.pb) AS pb FROM {prev} p LEFT JOIN (
   SELECT idx, sum(r * cnt) / sum(cnt) AS r, sum(g * cnt) / sum(cnt) AS g, sum(b * cnt) / sum(cnt) AS b FROM (
@@ -111,6 +129,16 @@ def _step(prev: str, name: str) -> str:
 C4 = HIST + ", p0 AS (SELECT row_number() OVER (ORDER BY cnt DESC, key) - 1 AS idx, CAST(r AS DOUBLE) AS pr, CAST(g AS DOUBLE) AS pg, CAST(b AS DOUBLE) AS pb FROM hist ORDER BY cnt DESC, key LIMIT 8)" + _step("p0", "p1") + _step("p1", "p2") + " SELECT idx, round(pr, 6) AS pr, round(pg, 6) AS pg, round(pb, 6) AS pb FROM p2"
 
 
+def _maximin(k: int) -> str:
+    return f""", c{k} AS MATERIALIZED (SELECT * FROM c{k - 1} UNION ALL (SELECT {k} AS idx, r, g, b FROM (SELECT h.key, h.r, h.g, h.b,
+  min((h.r - c.r) * (h.r - c.r) + (h.g - c.g) * (h.g - c.g) + (h.b - c.b) * (h.b - c.b)) AS far FROM hist h CROSS JOIN c{k - 1} c GROUP BY ALL) WHERE far > 0 ORDER BY far DESC, key LIMIT 1))"""
+
+
+C4_MAXIMIN = HIST.replace("hist AS (", "hist AS MATERIALIZED (") + ", c0 AS MATERIALIZED (SELECT 0 AS idx, r, g, b FROM hist ORDER BY cnt DESC, key LIMIT 1)" + "".join(_maximin(k) for k in range(1, 8))
+C4_MAXIMIN += ", p0 AS MATERIALIZED (SELECT CAST(idx AS BIGINT) AS idx, CAST(r AS DOUBLE) AS pr, CAST(g AS DOUBLE) AS pg, CAST(b AS DOUBLE) AS pb FROM c7)"
+C4_MAXIMIN += "".join(_step(f"p{k}", f"p{k + 1}").replace(" AS (", " AS MATERIALIZED (", 1) for k in range(10)) + " SELECT idx, round(pr, 6) AS pr, round(pg, 6) AS pg, round(pb, 6) AS pb FROM p10"
+
+
 def j15(spark, d):
     marks = table(spark, d, "part").select(F.col("p_size").alias("mark")).distinct()
     want = table(spark, d, "nation").select("n_nationkey", (F.col("n_nationkey") * 3 + 1).alias("want"))
@@ -151,6 +179,7 @@ QUERIES = {
     "w1_median_split": lambda s, d: points.median_split(_two(s, d), "r", ["image"]).groupBy("image", "side").agg(F.sum("cnt").alias("w"), F.min("r").alias("lo"), F.max("r").alias("hi")),
     "w2_c11_space_curve": c11,
     "c4_lloyd": c4,
+    "c4_kmeans_maximin": c4_maximin,
 }
 
 ORACLE_SQL = {
@@ -172,4 +201,5 @@ ORACLE_SQL = {
     "w1_median_split": "WITH " + HISTI + ", o AS (SELECT *, row_number() OVER w AS i, sum(cnt) OVER w AS c, count(*) OVER (PARTITION BY image) AS n, sum(cnt) OVER (PARTITION BY image) AS t FROM hist WINDOW w AS (PARTITION BY image ORDER BY r, key ROWS UNBOUNDED PRECEDING)), a AS (SELECT image, greatest(1, least(min(i) FILTER (2 * c >= t), max(n) - 1)) AS split FROM o GROUP BY image) SELECT o.image, CAST(CASE WHEN i <= split THEN 0 ELSE 1 END AS INT) AS side, CAST(sum(cnt) AS BIGINT) AS w, min(r) AS lo, max(r) AS hi FROM o JOIN a USING (image) GROUP BY ALL",
     "w2_c11_space_curve": "WITH " + C11,
     "c4_lloyd": "WITH " + C4,
+    "c4_kmeans_maximin": "WITH " + C4_MAXIMIN,
 }
