@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veldt.operators import merging, points, pricing, quantizers
+from veldt.operators import merging, points, pricing, quantizers, raster
 
 
 def _points(n: int, seed: int = 1):
@@ -144,3 +144,18 @@ def test_coded_blocks(spark):
     for chain in (0, 1):
         bits = [b for r in sorted((r for r in back if r.chain == chain), key=lambda r: r.block) for b in r.bits]
         assert bits == [int(i % 3 == 0) for i in range(700) if i % 2 == chain]
+
+
+def test_components_of_a_tall_serpentine(spark):
+    high, wide = 60, 7
+    path = lambda x, y: x % 2 == 0 or y == (high - 1 if x % 4 == 1 else 0)
+    cells = [(1, x, y, int(path(x, y))) for x in range(wide) for y in range(high)]
+    got = raster.components(spark.createDataFrame(cells, "image int, x int, y int, lab int"))
+    regions = {(r.lab, r.component, r.n) for r in got.groupBy("lab", "component").agg(F.count("*").alias("n")).collect()}
+    assert regions == {(1, 0, 4 * high + 3), (0, 1, high - 1), (0, 3, high - 1), (0, 2, high - 1)}
+
+
+def test_components_raise_when_not_settled(spark):
+    cells = [(1, x, y, int(x != 1 or y == 9)) for x in range(3) for y in range(10)]
+    with pytest.raises(RuntimeError):
+        raster.components(spark.createDataFrame(cells, "image int, x int, y int, lab int"), rounds=1)

@@ -47,11 +47,29 @@ def best_earlier(rag: DataFrame) -> DataFrame:
     return rag.filter("b < a").groupBy("image", "a").agg(F.min(F.struct((-F.col("len")).alias("l"), F.col("b").alias("b"))).alias("_m")).select("image", "a", F.col("_m.b").alias("b"))
 
 
-def components(grid: DataFrame, rounds: int = 40) -> DataFrame:
+def _stars(edges: DataFrame, rounds: int) -> DataFrame:
+    """edges(image, a, b), a > b: image, node, root, the smallest node reachable, of every node that has an edge but the
+    roots. Alternating large and small stars: rounds grow with the logarithm of a region's height, not with its height."""
+    now, before = edges.checkpoint(), None
+    for _ in range(rounds):
+        both = now.union(now.select("image", F.col("b"), F.col("a"))).toDF("image", "a", "b")
+        least = both.groupBy("image", "a").agg(F.min("b").alias("m")).select("image", "a", F.least("a", "m").alias("m"))
+        large = both.join(least, ["image", "a"]).filter("b > a").select("image", F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("image", "a").agg(F.min("b").alias("m"))
+        small = large.join(least, ["image", "a"]).filter("b > m").select("image", F.col("b").alias("a"), F.col("m").alias("b"))
+        now = small.union(least.select("image", "a", F.col("m").alias("b"))).distinct().checkpoint()
+        mark = now.agg(F.count("*"), F.sum(F.xxhash64("image", "a", "b").cast("decimal(38,0)"))).first()
+        if mark == before:
+            return now.select("image", F.col("a").alias("node"), F.col("b").alias("root"))
+        before = mark
+    raise RuntimeError(f"components have not settled in {rounds} rounds")
+
+
+def components(grid: DataFrame, rounds: int = 60) -> DataFrame:
     """4-connected components of equal lab; ids in raster order of first appearance.
 
-    Runs of equal labels within a row are nodes; touching runs of neighbouring rows are edges; the smallest
-    position spreads along edges, with a jump over the label's own label each round, until nothing changes.
+    Runs of equal labels within a row are nodes; touching runs of neighbouring rows are edges; stars join what
+    touches under the smallest position until nothing changes, and raise if that takes more than `rounds`.
     """
     new = F.when((F.col("lab") == F.lag("lab").over(row())) & (F.col("x") == F.lag("x").over(row()) + 1), 0).otherwise(1)
     runs = grid.withColumn("_run", F.sum(new).over(row()))
@@ -61,17 +79,9 @@ def components(grid: DataFrame, rounds: int = 40) -> DataFrame:
     cells = cells.select("image", "x", "y", "lab", F.col("_node").alias("node")).checkpoint()
     up = cells.withColumn("_up", F.lag("node").over(column())).withColumn("_lab", F.lag("lab").over(column())).withColumn("_y", F.lag("y").over(column()))
     edges = up.filter((F.col("_lab") == F.col("lab")) & (F.col("_y") == F.col("y") - 1)).select("image", F.col("node").alias("a"), F.col("_up").alias("b")).distinct()
-    edges = edges.union(edges.select("image", F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = cells.select("image", "node").distinct().withColumn("root", F.col("node")).checkpoint()
-    for _ in range(rounds):
-        near = edges.join(labels.withColumnRenamed("node", "b"), ["image", "b"]).groupBy("image", F.col("a").alias("node")).agg(F.min("root").alias("_near"))
-        step = labels.join(near, ["image", "node"], "left").withColumn("_to", F.least("root", F.coalesce("_near", "root")))
-        jump = labels.select("image", F.col("node").alias("_to"), F.col("root").alias("_far"))
-        after = step.join(jump, ["image", "_to"]).select("image", "node", "root", F.least("_to", "_far").alias("_new")).checkpoint()
-        changed = not after.filter("_new <> root").isEmpty()
-        labels = after.select("image", "node", F.col("_new").alias("root"))
-        if not changed:
-            break
+    found = _stars(edges, rounds)
+    nodes = cells.select("image", "node").distinct()
+    labels = nodes.join(found, ["image", "node"], "left").withColumn("root", F.coalesce("root", "node")).checkpoint()
     ids = labels.select("image", "root").distinct().withColumn("component", F.row_number().over(Window.partitionBy("image").orderBy("root")) - 1)
     return cells.join(labels, ["image", "node"]).join(ids, ["image", "root"]).select("image", "x", "y", "lab", "component")
 
