@@ -91,3 +91,18 @@ def test_registered_bootstrap_takes_all_resamples(spark):
         rng = random.Random(0xC0FFEE)
         means = sorted(sum(want[rng.randrange(len(want))] for _ in want) / len(want) for _ in range(10_000))
         assert got["ci_low" + suffix] == pytest.approx(means[250], rel=1e-12) and got["ci_high" + suffix] == pytest.approx(means[9750], rel=1e-12)
+
+
+def test_pair_scores_are_whole(spark):
+    from veldt.plans.point_queries import _near
+
+    lab = lambda cols: colour.rgb_to_lab(*(F.col(c) for c in cols))
+    rows = _near(spark, DATA).withColumn("de", colour.ciede2000(lab("rgb"), lab(("pr", "pg", "pb")))).collect()
+    de = sorted(r.de for r in rows for _ in range(r.cnt))
+    err = [abs(a - b) for r in rows for a, b in ((r.r, r.pr), (r.g, r.pg), (r.b, r.pb)) for _ in range(r.cnt)]
+    mse = sum(e * e for e in err) / len(err)
+    psnr = 10 * math.log10(255 * 255 / mse)
+    want = (mse, psnr, sum(de) / len(de), de[min(len(de) - 1, int(len(de) * 0.95))])
+    assert tuple(catalog.QUERIES["m21_pair_score"](spark, DATA).first()) == pytest.approx(want, abs=2e-6)
+    over = [100 * sum(e > t for e in err) / len(err) for t in (1, 2, 4, 8)]
+    assert tuple(catalog.QUERIES["m24_error_stats"](spark, DATA).first()) == pytest.approx((psnr, sum(err) / len(err), max(err), *over), abs=2e-6)

@@ -87,7 +87,7 @@ def nearest(points: DataFrame, references: DataFrame, distance: Column, key: lis
     """
     count = references.count()
     if count > MAX_REFERENCES:
-        raise ValueError(f"{count} references; use nearest_grid beyond {MAX_REFERENCES}")
+        raise ValueError(f"{count} references; no more than {MAX_REFERENCES} are built")
     pairs = points.join(F.broadcast(references)).withColumn("_d", distance)
     best = pairs.groupBy(*key).agg(F.min(F.struct("_d", idx, *carry)).alias("_m"))
     return best.select(*key, F.col("_m._d").alias("d"), F.col(f"_m.{idx}").alias("idx"), *[F.col(f"_m.{c}").alias(c) for c in carry])

@@ -53,6 +53,26 @@ SELECT image, count(*) AS n, CAST(sum(d) AS BIGINT) AS sse, max(CASE WHEN i = le
 GRID = "CAST(r // 32 * 64 + g // 32 * 8 + b // 32 AS INT)"
 
 
+def m21(spark, d):
+    """The reference's pair score: MSE, PSNR, mean and 95th percentile of CIEDE2000 (sorted[min(n - 1, floor(0.95 n))])."""
+    lab = lambda cols: colour.rgb_to_lab(*(F.col(c) for c in cols))
+    rows = _near(spark, d).withColumn("de", colour.ciede2000(lab(("r", "g", "b")), lab(("pr", "pg", "pb"))))
+    run = rows.withColumn("_c", F.sum("cnt").over(Window.partitionBy(F.lit(0)).orderBy("de", "key"))).withColumn("_n", F.sum("cnt").over(Window.partitionBy(F.lit(0))))
+    p95 = F.min(F.when(F.col("_c") > F.least(F.col("_n") - 1, F.floor(F.lit(0.95) * F.col("_n"))), F.col("de")))
+    out = run.agg((F.sum(F.col("d") * F.col("cnt")) / (3 * F.sum("cnt"))).alias("mse"), (F.sum(F.col("de") * F.col("cnt")) / F.sum("cnt")).alias("mean_de"), p95.alias("p95_de"))
+    return out.select(F.round("mse", 6).alias("mse"), F.round(colour.psnr_inf(F.col("mse")), 6).alias("psnr"), F.round("mean_de", 6).alias("mean_de"), F.round("p95_de", 6).alias("p95_de"))
+
+
+def m24(spark, d):
+    """The reference's error statistics over all channel values: PSNR (99 if equal), MAE, largest, per cent over 1, 2, 4 and 8."""
+    near = _near(spark, d)
+    err = near.select("cnt", F.explode(F.array(*[F.abs(F.col(c) - F.col(f"p{c}")) for c in "rgb"])).alias("e"))
+    n = F.sum("cnt")
+    over = [F.round(100 * F.sum(F.when(F.col("e") > t, F.col("cnt")).otherwise(0)) / n, 6).alias(f"pct_over{t}") for t in (1, 2, 4, 8)]
+    psnr = colour.psnr_99(F.sum(F.col("e") * F.col("e") * F.col("cnt")), n / 3)
+    return err.agg(F.round(psnr, 6).alias("psnr"), F.round(F.sum(F.col("e") * F.col("cnt")) / n, 6).alias("mae"), F.max("e").alias("worst"), *over)
+
+
 def _two(spark, d):
     return _hist(spark, d, ["image"])
 
@@ -180,6 +200,8 @@ QUERIES = {
     "w2_c11_space_curve": c11,
     "c4_lloyd": c4,
     "c4_kmeans_maximin": c4_maximin,
+    "m21_pair_score": m21,
+    "m24_error_stats": m24,
 }
 
 ORACLE_SQL = {
