@@ -1,24 +1,30 @@
 """Operator 4: n-gram Jaccard join in metric space: pivots, Voronoi regions, triangle-inequality windows.
 
-1 - Jaccard is a metric on sets. For sets without a common shingle it is 1 whatever the sets, so document pivots
-alone separate nothing in a corpus where most pairs are that far apart. The first level therefore takes single
-shingles as pivots: d(x, {s}) is below 1 exactly for the shingles s of x. Shingles have one global order, rare
-ones first; a document lies in the regions of its first |x| - ceil(t |x|) + MEET shingles in that order, and two
-documents within 1 - t of each other share MEET of them. (The order comes from a sketch of fixed size that counts
-shingles by hash; any order is exact, this one keeps frequent passages from making regions.) Regions of at most
-LEAF sets are joined pair by pair, as far as sizes can link.
-
-Larger regions with a document in common form a cluster, where documents are the pivots: each goes to the region of
-its nearest pivot and to every region whose pivot is no more than 2 (1 - t) further away, which by the triangle
-inequality brings both ends of each link together. Documents that are at least t from all pivots form a region of
-their own and enter a pivot's region only if they share a shingle with it. Regions are cut again until they are
-small. A cluster that pivots do not thin out (copies with many random changes are all about as far from each
-other) is cut into blocks instead, and every pair of blocks is a region: exact, at the price of copies.
-
-Equal sets are one class from the start and are never compared. Links become components by alternating stars.
-Defined results: null or blank texts have no shingles and link with nothing (each such row is its own component);
-a row without doc_id has component null and takes no part; rows that repeat a doc_id are compared each with its
-own text, and share the id; an empty table gives no rows.
+1 - Jaccard is a metric on sets, and two documents link when it is at most eps = 1 - t. For sets without a common
+shingle it is 1 whatever the sets, so a document only has to meet pivots that it can be near to at all. Which these
+are, prefixes say: shingles have one global order, rare ones first, and the first |x| - ceil(t |x|) + COMMON shingles
+of two linked documents have COMMON of them in common (or all that the documents share, if those are fewer). The
+pivot of a shingle is the document with the smallest digest among those that have it in their prefix; a document lies
+in the regions of its shingles' pivots. Linked documents thus share pivots, and rows grow with the prefixes, not with
+pairs. A document is noisy in a region that it owes to a single shingle. Where such shingles are too few to hold all
+that a document shares with a linked one (fewer than half of COMMON), it leaves these regions: at least one common
+shingle remains that neither end gave up. (The order comes from a sketch of fixed size that counts shingles by hash;
+any order is exact, this one keeps frequent passages from making regions.)
+
+Each region is joined recursively: documents are taken as pivots, each other document goes to the cell of its nearest
+pivot and to every cell whose pivot is no more than 2 eps further away, which by the triangle inequality brings both
+ends of each link together. Documents that are at least t from all pivots form a cell of their own and enter a pivot's
+cell only if they share a shingle with it. Cells are cut until they are small or pivots no longer thin them out, and
+are then compared in full. Regions of up to LEAF units (a document, or 32 KB of text) are one task's work. Larger ones
+are cut in the same way by tasks over runs of their documents; a cell that pivots do not thin out (copies with many
+random changes are all about as far from each other) is dealt into blocks, and every pair of blocks is a region:
+exact, at the price of copies that grow with the cell.
+
+A region returns a forest of its links and the number of links of each member. Each link counts in one region, the
+smallest of those that hold both ends. Equal sets are one class from the start and are never compared. Links become
+components by alternating stars. Defined results: null or blank texts have no shingles and link with nothing (each
+such row is its own component); a row without doc_id has component null and takes no part; rows that repeat a doc_id
+are compared each with its own text, and share the id; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -27,22 +33,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import discard, parts, release, table, written, written_at
+from .shared import discard, nested, parts, release, table, written, written_at
 from .shingles import mix, sets
 
-LEAF, BLOCK = 160, 80
+LEAF, BLOCK = 256, 256
+#: Bytes of text that count as one document in the size of a region.
+UNIT = 32 << 10
 PIVOTS = 12
 DEPTH = 3
-#: Regions that linked sets share at least. Sets too small for so many differ in nothing if they link (t >= 67).
-MEET = 3
+#: Cells of up to so many documents are compared in full.
+SMALL = 24
+#: Prefix shingles that linked sets have in common at least, or all they share.
+COMMON = 9
 SKETCH = 1 << 20
-TEXT_BYTES = 4 << 20
 _CHUNK = 1 << 14
+_COLUMNS = 4096
 
 
 def sketch(docs: DataFrame, width: int) -> np.ndarray:
@@ -57,11 +66,18 @@ def sketch(docs: DataFrame, width: int) -> np.ndarray:
             chunks = [c.tobytes() for c in total.reshape(-1, _CHUNK)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array(chunks, pa.binary())], ["chunk", "counts"])
 
-    def add(rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.int64) for x in rows.column("counts"))
-        return pa.table({"chunk": rows.column("chunk")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-    rows = docs.select("text").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows of a partition come one after the other; a sum for each chunk is all that is held
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(counts.as_py(), np.int64)
+                total[chunk] = total[chunk] + own if chunk in total else own
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "counts"])
+
+    counted = docs.select("text").mapInArrow(count, "chunk int, counts binary")
+    rows = counted.repartition(SKETCH // _CHUNK, "chunk").mapInArrow(add, "chunk int, counts binary").collect()
     out = np.zeros(SKETCH, np.int64)
     for r in rows:
         out[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = np.frombuffer(r.counts, np.int64)
@@ -81,20 +97,20 @@ def _digest(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _needed(n: np.ndarray, t: int) -> np.ndarray:
-    """Places of the order that a set of n shingles takes: n - ceil(t n / 100) + MEET, at most all n."""
-    return np.where(n > 0, np.minimum(n, n + (-t * n // 100) + MEET), 0)
+    """Places of the order that a set of n shingles takes: n - ceil(t n / 100) + COMMON, at most all n."""
+    return np.where(n > 0, np.minimum(n, n + (-t * n // 100) + COMMON), 0)
 
 
-SIGNATURE = "doc_id long, n long, d1 long, d2 long, first array<long>"
+SIGNATURE = "doc_id long, n long, d1 long, d2 long, chars long, first array<long>"
 
 
 def signatures(docs: DataFrame, width: int, t: int, levels: np.ndarray) -> DataFrame:
-    """Set size, digest and first shingles in the global order; of equal sets in a batch only one shows shingles, of
-    those with a doc_id (the others take no part)."""
+    """Set size, digest and prefix of every document; of equal sets in a batch only one shows its prefix, of those
+    with a doc_id (the others take no part)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, seen = batch.column(0), set()
+            ids, chars, seen = batch.column(0), batch.column(2), set()
             known = ids.is_valid().to_numpy(zero_copy_only=False)
             for i, hashes, sizes in sets(batch.column(1), width):
                 d1, d2 = _digest(hashes, sizes)
@@ -109,125 +125,121 @@ def signatures(docs: DataFrame, width: int, t: int, levels: np.ndarray) -> DataF
                 rank = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 first = hashes[order][rank < need[owner]].view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(need)]), pa.int32()), pa.array(first))
-                yield pa.RecordBatch.from_arrays([ids[i : i + len(sizes)], pa.array(sizes.astype(np.int64)), pa.array(d1), pa.array(d2), lists], ["doc_id", "n", "d1", "d2", "first"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, SIGNATURE)
-
-
-def meetings(regions: DataFrame, t: int, leaf: int) -> DataFrame:
-    """regions(shingle, n, d1): kind 0, pairs within regions of at most leaf sets whose sizes can link, if they meet in
-    MEET such regions; kind 1, for larger regions, neighbours by size (what lies between two sizes that can link,
-    links to both). Two sets that link share MEET regions: either all of them are small, or a large one holds both."""
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [tuple(c.to_numpy() for c in b.columns) for b in batches]
-        if not got:
-            return
-        shingle, n, d1 = map(np.concatenate, zip(*got, strict=True))
-        o = np.lexsort((d1, n, shingle))
-        shingle, n, d1 = shingle[o], n[o], d1[o]
-        new = np.ones(len(o), bool)
-        new[1:] = (shingle[1:] != shingle[:-1]) | (n[1:] != n[:-1]) | (d1[1:] != d1[:-1])
-        shingle, n, d1 = shingle[new], n[new], d1[new]
-        start = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
-        size = np.diff(np.append(start, len(shingle)))
-        end, small = np.repeat(start + size, size), np.repeat(size <= leaf, size)
-        kinds, a, b = [], [], []
-        at, k = np.flatnonzero((end - np.arange(len(end)) > 1)), 1
-        while len(at):
-            # sizes ascend within a region: beyond the first that is too large there is no other
-            at = at[(at + k < end[at]) & (small[at] | (k == 1))]
-            at = at[100 * n[at] >= t * n[np.minimum(at + k, len(n) - 1)]]
-            kinds.append((~small[at]).astype(np.int32))
-            a.append(np.minimum(d1[at], d1[at + k]))
-            b.append(np.maximum(d1[at], d1[at + k]))
-            k += 1
-        if a:
-            kind, a_, b_ = np.concatenate(kinds), np.concatenate(a), np.concatenate(b)
-            o = np.lexsort((b_, a_, kind))
-            kind, a_, b_ = kind[o], a_[o], b_[o]
-            first = np.flatnonzero(np.concatenate([[True], (kind[1:] != kind[:-1]) | (a_[1:] != a_[:-1]) | (b_[1:] != b_[:-1])]))
-            met = np.diff(np.append(first, len(kind)))
-            yield pa.RecordBatch.from_arrays([pa.array(kind[first].astype(np.int32)), pa.array(a_[first]), pa.array(b_[first]), pa.array(met.astype(np.int64))], ["kind", "a", "b", "met"])
-
-    dealt = regions.select("shingle", "n", "d1").repartition(parts(regions.sparkSession), "shingle")
-    found = dealt.mapInArrow(meet, "kind int, a long, b long, met long").groupBy("kind", "a", "b").agg(F.sum("met").alias("met"))
-    return found.filter((F.col("kind") == 1) | (F.col("met") >= MEET)).drop("met")
-
-
-def _bounded(batch: pa.RecordBatch, *texts: str) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows with at most TEXT_BYTES of text, or one row."""
-    upto = np.cumsum(sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in texts))
-    i = 0
-    while i < batch.num_rows:
-        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + TEXT_BYTES, "right")))
-        yield batch.slice(i, j - i)
-        i = j
-
-
-def _compare(pairs: DataFrame, width: int, t: int) -> DataFrame:
-    """pairs(a, da, ta, b, db, tb): nodes, digests, texts. The pairs that link."""
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in _bounded(whole, "ta", "tb")):
-            left, right = _own_sets(batch.column("ta"), width), _own_sets(batch.column("tb"), width)
-            ok = np.ones(len(left), bool)
-            for own, d in ((left, batch.column("da")), (right, batch.column("db"))):
-                ok &= _digest(np.concatenate(own), np.array([len(x) for x in own], np.int64))[0] == d.to_numpy()
-            for i in np.flatnonzero(ok).tolist():
-                both = len(np.intersect1d(left[i], right[i], assume_unique=True))
-                ok[i] = 100 * both >= t * (len(left[i]) + len(right[i]) - both)
-            keep = pa.array(np.flatnonzero(ok), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], ["a", "b"])
-
-    return pairs.select("a", "da", "ta", "b", "db", "tb").mapInArrow(compare, "a long, b long")
+                upto = i + len(sizes)
+                yield pa.RecordBatch.from_arrays([ids[i:upto], pa.array(sizes.astype(np.int64)), pa.array(d1), pa.array(d2), chars[i:upto], lists], ["doc_id", "n", "d1", "d2", "chars", "first"])
 
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+    return rows.mapInArrow(sign, SIGNATURE)
 
-class Sets:
-    """Some documents' shingle sets as one sorted run of (shingle, document)."""
-
-    def __init__(self, flat: list[np.ndarray]):
-        self.flat = flat
-        self.size = np.array([len(x) for x in flat], np.int64)
-        owner = np.repeat(np.arange(len(flat)), self.size)
-        values = np.concatenate(flat) if flat else np.empty(0, np.uint64)
-        order = np.argsort(values, kind="stable")
-        self.values, self.owner = values[order], owner[order]
 
-    def common(self, i: int, chosen: np.ndarray | None = None) -> np.ndarray:
-        """Shingles that every document has in common with document i."""
-        lo = np.searchsorted(self.values, self.flat[i], "left")
-        n = np.searchsorted(self.values, self.flat[i], "right") - lo
-        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.bincount(self.owner[at], minlength=len(self.flat))
+def pivots_of(known: DataFrame, t: int) -> DataFrame:
+    """known(first, n, d1): x, p (digests) and c: a document lies in the region of pivot p for c shingles of its prefix.
+    Rows of a document's own region are left out, and single shingles where they cannot hide a link."""
+    shared = F.least(F.lit(COMMON), F.ceil(F.col("n") * t / 100)).cast("int")
+    rows = known.select("d1", shared.alias("k"), F.explode("first").alias("shingle"))
+    dealt = rows.repartition(parts(known.sparkSession), "shingle").sortWithinPartitions("shingle", "d1")
 
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, pivot = None, None
+        for batch in batches:
+            d1, k, shingle = (c.to_numpy() for c in batch.columns)
+            if not len(d1):
+                continue
+            new = np.ones(len(d1), bool)
+            new[1:] = shingle[1:] != shingle[:-1]
+            if last is not None and shingle[0] == last:
+                new[0] = False
+            start = np.flatnonzero(new)
+            run = np.cumsum(new) - 1
+            leader = np.concatenate([d1[start], [pivot if pivot is not None else 0]])[run]
+            other = d1 != leader
+            # a class that shows its prefix in two batches counts each shingle twice: that keeps more, never less
+            x, p, own = d1[other], leader[other], k[other]
+            o = np.lexsort((p, x))
+            x, p, own = x[o], p[o], own[o]
+            first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (p[1:] != p[:-1])])) if len(x) else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x[first]), pa.array(p[first]), pa.array(own[first]), pa.array(np.diff(np.append(first, len(x))))], ["x", "p", "k", "c"])
+            last, pivot = shingle[-1], leader[-1]
+
+    found = dealt.mapInArrow(lead, "x long, p long, k int, c long")
+    counted = found.repartition(parts(known.sparkSession), "x").groupBy("x", "p").agg(F.max("k").alias("k"), F.sum("c").alias("c"))
+    single = F.sum((F.col("c") == 1).cast("int")).over(Window.partitionBy("x"))
+    kept = counted.withColumn("_single", single).filter((F.col("c") > 1) | (2 * F.col("_single") > F.col("k") - 1))
+    return kept.select("x", "p")
 
-def links(flat: list[np.ndarray], t: int) -> list[tuple[int, int]]:
-    """Pairs i < j with 100 |common| >= t |union|."""
-    s = Sets(flat)
-    out = []
-    for i in range(len(flat) - 1):
-        both = s.common(i)
-        near = np.flatnonzero(100 * both >= t * (s.size + s.size[i] - both))
-        out += [(i, int(j)) for j in near if j > i]
-    return out
 
+class Sets:
+    """Some documents' shingle sets; common(a, b) counts what documents a have in common with documents b."""
 
-def nearest(flat: list[np.ndarray], pivots: list[np.ndarray], t: int) -> list[list[int]]:
-    """The regions of each document: its nearest pivot's, those within the window, or -1 (far from all)."""
-    s = Sets(flat + pivots)
-    n, eps = len(flat), 1 - t / 100
-    d = np.ones((n, len(pivots)))
-    for k in range(len(pivots)):
-        both = s.common(n + k)[:n]
-        union = s.size[:n] + s.size[n + k] - both
-        d[:, k] = 1 - both / np.maximum(union, 1)
-    home = d.min(1)
+    def __init__(self, flat: list[np.ndarray]):
+        self.size = np.array([len(x) for x in flat], np.int64)
+        self.owner = np.repeat(np.arange(len(flat)), self.size)
+        values = np.concatenate(flat) if flat else np.empty(0, np.uint64)
+        _, self.place, count = np.unique(values, return_inverse=True, return_counts=True)
+        keep = count[self.place] > 1
+        self.owner, self.place = self.owner[keep], np.unique(self.place[keep], return_inverse=True)[1]
+        order = np.argsort(self.place, kind="stable")
+        self.owner, self.place = self.owner[order], self.place[order]
+        self.width = int(self.place[-1]) + 1 if len(self.place) else 0
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Products of incidence matrices, _COLUMNS shingles at a time; counts are exact in single precision."""
+        out = np.zeros((len(a), len(b)), np.float32)
+        row = np.full((2, len(self.size)), -1)
+        row[0, a], row[1, b] = np.arange(len(a)), np.arange(len(b))
+        for lo in range(0, self.width, _COLUMNS):
+            i, j = np.searchsorted(self.place, [lo, lo + _COLUMNS])
+            sides = []
+            for r, n in ((row[0], len(a)), (row[1], len(b))):
+                m = np.zeros((n, min(_COLUMNS, self.width - lo)), np.float32)
+                who = r[self.owner[i:j]]
+                m[who[who >= 0], self.place[i:j][who >= 0] - lo] = 1
+                sides.append(m)
+            out += sides[0] @ sides[1].T
+        return out.astype(np.int64)
+
+    def distances(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        both = self.common(a, b)
+        return 1 - both / np.maximum(self.size[a][:, None] + self.size[b][None, :] - both, 1)
+
+
+def cells(d: np.ndarray, t: int) -> list[list[int]]:
+    """d: distances of documents to pivots. The cells of each document: its nearest pivot's, those within the window,
+    or -1 (far from all)."""
+    eps, home = 1 - t / 100, d.min(1)
     window = (d <= home[:, None] + 2 * eps + 1e-9) & (d < 1)
     far = home >= t / 100 - 1e-9
     return [([-1] if f else []) + np.flatnonzero(w).tolist() for f, w in zip(far, window, strict=True)]
 
 
+def thinned(sizes: list[int], n: int) -> bool:
+    """Whether cells of these sizes cut n documents well enough to go on with them."""
+    return max(sizes) <= 0.7 * n and sum(sizes) <= 2.5 * n
+
+
+def links(flat: list[np.ndarray], t: int, small: int = SMALL, pivots: int = PIVOTS) -> np.ndarray:
+    """Which documents link (100 |common| >= t |union|), as a matrix; found by Voronoi cells within cells."""
+    s, n = Sets(flat), len(flat)
+    out, todo = np.zeros((n, n), bool), [np.arange(n)]
+    while todo:
+        rows = todo.pop()
+        if len(rows) > small:
+            # spread over the documents by size, which bounds the distance from below
+            at = rows[np.argsort(s.size[rows], kind="stable")][np.linspace(0, len(rows) - 1, pivots).astype(int)]
+            members: dict[int, list[int]] = {}
+            for i, own in zip(rows.tolist(), cells(s.distances(rows, at), t), strict=True):
+                for c in own:
+                    members.setdefault(c, []).append(i)
+            if thinned([len(m) for m in members.values()], len(rows)):
+                todo += [np.array(m) for m in members.values() if len(m) > 1]
+                continue
+        both = s.common(rows, rows)
+        ok = (both > 0) & (100 * both >= t * (s.size[rows][:, None] + s.size[rows][None, :] - both))
+        out[np.ix_(rows, rows)] |= ok
+    np.fill_diagonal(out, False)
+    return out
+
+
 def _own_sets(rows, width: int) -> list[np.ndarray]:
     """The set of each row's text, in order."""
     out = []
@@ -236,15 +248,16 @@ def _own_sets(rows, width: int) -> list[np.ndarray]:
     return out
 
 
-#: own: the row's block, -1 without blocks; also: its regions on each level, as "0,3/-1"; cluster: of a p group's row, if it lies in one.
-MEMBER = ["region", "node", "d1", "text", "own", "also", "cluster"]
+#: own: the row's block, -1 without blocks; also: its regions on each level, as "17,-42/0,3/-1"; units: its size.
+MEMBER = ["region", "node", "d1", "text", "own", "also", "units"]
+_MEMBER = "region string, node long, d1 long, text string, own int, also string, units int"
 
 
 def cut(rows: DataFrame, width: int, t: int, leaf: int, block: int, depth: int = DEPTH, pivots: int = PIVOTS) -> DataFrame:
-    """rows of MEMBER: the same columns with regions of at most leaf documents."""
+    """rows of MEMBER: the same columns with regions of at most leaf units, or pairs of blocks."""
     done, todo, spent = None, rows, 0
     while True:
-        sizes = written(todo.groupBy("region").agg(F.count("*").alias("size")), "regions")
+        sizes = written(todo.groupBy("region").agg(F.sum("units").alias("size")), "regions")
         small = todo.join(sizes.filter(F.col("size") <= leaf).select("region"), "region", "left_semi").select(*MEMBER)
         done = small if done is None else done.union(small)
         large = sizes.filter(F.col("size") > leaf)
@@ -255,7 +268,7 @@ def cut(rows: DataFrame, width: int, t: int, leaf: int, block: int, depth: int =
         if spent < depth:
             picked = todo.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= pivots)
             tried = written(_assign(todo, picked.drop("_n"), width, t, block), "voronoi")
-            after = tried.groupBy("parent", "region").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+            after = tried.groupBy("parent", "region").agg(F.sum("units").alias("n"), F.first("size").alias("size"))
             after = after.groupBy("parent").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.first("size").alias("size"))
             good = written(after.filter((F.col("most") <= 0.7 * F.col("size")) & (F.col("all") <= 2.5 * F.col("size"))).select("parent"), "thinned")
             stuck = todo.join(good, F.col("region") == F.col("parent"), "left_anti")
@@ -272,66 +285,69 @@ def cut(rows: DataFrame, width: int, t: int, leaf: int, block: int, depth: int =
 
 
 def _assign(rows: DataFrame, picked: DataFrame, width: int, t: int, block: int) -> DataFrame:
-    """rows and picked (MEMBER and size): each row in each of its regions. A region's rows are dealt
-    into runs of about block rows, and its pivots go with every run."""
+    """rows and picked (MEMBER and size): each row in each of its cells. A region's rows are dealt into runs of about
+    block units, and its pivots go with every run."""
     runs = F.ceil(F.col("size") / block).cast("int")
     own = rows.withColumn("_run", F.pmod(F.xxhash64("node", F.lit(7)), runs).cast("int")).withColumn("_pivot", F.lit(False))
     to_all = picked.withColumn("_run", F.explode(F.sequence(F.lit(0), runs - 1))).withColumn("_pivot", F.lit(True))
 
     def assign(group: pa.Table) -> pa.Table:
         is_pivot = group.column("_pivot").to_numpy()
-        pivots = group.filter(pa.array(is_pivot)).sort_by([("node", "ascending"), ("text", "ascending")])  # ids may repeat
+        points = group.filter(pa.array(is_pivot)).sort_by([("node", "ascending"), ("text", "ascending")])  # ids may repeat
         docs = group.filter(pa.array(~is_pivot))
         at, to, among = [], [], []
         before = docs.column("also").to_pylist()
         if docs.num_rows:
-            points, region = _own_sets(pivots.column("text"), width), docs.column("region")[0].as_py()
-            for i, found in enumerate(nearest(_own_sets(docs.column("text"), width), points, t)):
+            n, region = docs.num_rows, docs.column("region")[0].as_py()
+            s = Sets(_own_sets(docs.column("text"), width) + _own_sets(points.column("text"), width))
+            for i, found in enumerate(cells(s.distances(np.arange(n), np.arange(n, len(s.size))), t)):
                 at += [i] * len(found)
                 to += [f"{region}.{k}" for k in found]
-                among += [(before[i] + "/" if before[i] else "") + ",".join(map(str, found))] * len(found)
+                among += [before[i] + "/" + ",".join(map(str, found))] * len(found)
         took = docs.take(pa.array(at, pa.int64()))
-        return pa.table([took.column("region"), pa.array(to, pa.string()), took.column("node"), took.column("d1"), took.column("text"), took.column("own"), pa.array(among, pa.string()), took.column("cluster"), took.column("size")], ["parent", *MEMBER, "size"])
+        columns = {"parent": took.column("region"), "region": pa.array(to, pa.string()), "also": pa.array(among, pa.string())}
+        return pa.table([columns.get(c, took.column(c) if c in took.column_names else None) for c in ("parent", *MEMBER, "size")], ["parent", *MEMBER, "size"])
 
     columns = [*MEMBER, "_run", "_pivot", "size"]
     dealt = own.select(*columns).union(to_all.select(*columns)).groupBy("region", "_run")
-    return dealt.applyInArrow(assign, "parent string, region string, node long, d1 long, text string, own int, also string, cluster long, size long")
-
-
-def forest(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Links that connect what found connects, one less than nodes."""
-    root: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for i, j in found:
-        a, b = top(i), top(j)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            out.append((i, j))
+    return dealt.applyInArrow(assign, f"parent string, {_MEMBER}, size long")
+
+
+def forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect what the matrix connects, one less than documents in each component."""
+    n = len(near)
+    fresh, out = np.ones(n, bool), []
+    for root in range(n):
+        if not fresh[root]:
+            continue
+        fresh[root] = False
+        todo = [root]
+        while todo:
+            i = todo.pop()
+            found = np.flatnonzero(near[i] & fresh)
+            fresh[found] = False
+            out += [(i, int(j)) for j in found]
+            todo += found.tolist()
     return out
 
 
-def _counts_here(region: str, own: list[int], also: list[str], cluster: list[int | None]):
-    """Whether a link of two members counts in this region: each counts once, in the first region of every level that
-    has both, and with blocks in the one region of two blocks, or of one with itself."""
+def _counted_elsewhere(region: str, own: list[int], also: list[str]) -> np.ndarray:
+    """Which pairs of members count in another region: a link counts in the smallest region of every level that holds
+    both ends, and with blocks in the one region of two blocks, or of one with itself."""
     home, *blocks = region.split("/")
-    path = [int(k) for k in home.split(".")[1:]]
-    levels = [[set(map(int, level.split(","))) for level in a.split("/")] if a else [] for a in also]
-
-    def here(i: int, j: int) -> bool:
-        if cluster[i] is not None and cluster[i] == cluster[j]:
-            return False
-        if blocks and own[i] == own[j] and blocks[0] != blocks[1]:
-            return False
-        return all(k == min(x & y) for k, x, y in zip(path, levels[i], levels[j], strict=True))
-
-    return here
+    n = len(own)
+    out = np.zeros((n, n), bool)
+    if blocks and blocks[0] != blocks[1]:
+        out |= np.equal.outer(own, own)
+    levels = [a.split("/") for a in also]
+    for depth, here in enumerate(home.split(".")):
+        less = [[int(k) for k in x[depth].split(",") if int(k) < int(here)] for x in levels]
+        names = {k: i for i, k in enumerate({k for x in less for k in x})}
+        if names:
+            m = np.zeros((n, len(names)), np.float32)
+            m[np.repeat(np.arange(n), [len(x) for x in less]), [names[k] for x in less for k in x]] = 1
+            out |= m @ m.T > 0
+    return out
 
 
 def _join_regions(rows: DataFrame, width: int, t: int) -> DataFrame:
@@ -344,14 +360,10 @@ def _join_regions(rows: DataFrame, width: int, t: int) -> DataFrame:
         nodes, want = group.column("node").to_numpy(), group.column("d1").to_numpy()
         keep = {int(nodes[i]): i for i in range(len(own)) if d1[i] == want[i]}  # ids may repeat with other texts
         at = sorted(keep.values())
-        found = links([own[i] for i in at], t)
+        near = links([own[i] for i in at], t)
         of = lambda c: [group.column(c)[i].as_py() for i in at]
-        here = _counts_here(group.column("region")[0].as_py(), of("own"), of("also"), of("cluster"))
-        number = np.zeros(len(at), np.int64)
-        for i, j in found:
-            if here(i, j):
-                number[[i, j]] += 1
-        tree, some = forest(found), np.flatnonzero(number).tolist()
+        number = (near & ~_counted_elsewhere(group.column("region")[0].as_py(), of("own"), of("also"))).sum(1)
+        tree, some = forest(near), np.flatnonzero(number).tolist()
         id_ = [int(nodes[i]) for i in at]
         a, b = [id_[i] for i, _ in tree] + [id_[i] for i in some], [id_[j] for _, j in tree] + [None] * len(some)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "links": pa.array([None] * len(tree) + number[some].tolist(), pa.int64())})
@@ -363,47 +375,31 @@ def jaccard_components(docs: DataFrame, width: int, t: int, leaf: int = LEAF, bl
     """docs(doc_id, text): doc_id, n_shingles, component_id, links (of its class to others), class_size."""
     spark = docs.sparkSession
     whole, path = written_at(signatures(docs, width, t, sketch(docs, width)), "signatures")
-    signed = written(whole.drop("first"), "keys")
+    signed = written(whole.drop("first", "chars"), "keys")
     known = whole.filter("doc_id is not null and n > 0")
-    least = known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("class_size"))
+    least = known.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("class_size"), F.max("chars").alias("chars"))
     classes = written(least.withColumn("node", F.monotonically_increasing_id()), "classes")
     # Here d1 alone names a set; should two sets share it, more is compared than need be.
-    met = written(meetings(known.select("n", "d1", F.explode("first").alias("shingle")), t, leaf), "meetings")
+    near = written(pivots_of(known, t), "regions")
     discard(spark, path)
     release(spark)
-    side = lambda x: classes.select(F.col("d1").alias(f"d{x}"), F.col("node").alias(x), F.col("first_id").alias(f"i{x}"))
-    clusters = written(components(met.filter("kind = 1"), "a", "b"), "clusters")
-    # what lies in one cluster is compared there
-    within = lambda x: clusters.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-    near = met.filter("kind = 0").select("a", "b").join(within("a"), "a", "left").join(within("b"), "b", "left")
-    near = written(near.filter("ca is null or cb is null or ca <> cb").select("a", "b"), "near")
-    groups = written(components(near, "a", "b").select(F.col("node").alias("_d1"), F.col("component").alias("group")), "groups")
-    sizes = groups.groupBy("group").agg(F.count("*").alias("size"))
-    # texts that any region or pair asks for, once
-    wanted = groups.select("_d1").union(clusters.select(F.col("node").alias("_d1"))).distinct()
-    wanted = classes.join(wanted, F.col("d1") == F.col("_d1")).select(F.col("first_id").alias("id")).distinct()
+    # every document's regions, its own included where it is a pivot, and the texts that they ask for, once
+    both = near.union(near.select(F.col("p").alias("x"), "p"))
+    lists = both.groupBy("x").agg(F.array_sort(F.collect_set("p")).cast("array<string>").alias("regions"))
+    wanted = classes.join(lists, F.col("d1") == F.col("x")).select(F.col("first_id").alias("id"), "node", "d1", "chars", "regions")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    texts = written(texts.join(wanted, "id", "left_semi"), "texts")
-    release(spark)
-    text = lambda x: texts.select(F.col("id").alias(f"i{x}"), F.col("text").alias(f"t{x}"))
-    # small groups of pairs bring each text once; pairs of larger groups bring both texts
-    few = groups.join(sizes.filter(F.col("size") <= leaf), "group").join(clusters.withColumnRenamed("node", "_d1"), "_d1", "left")
-    members = classes.join(few, F.col("d1") == F.col("_d1")).select(F.concat(F.lit("p"), F.col("group").cast("string")).alias("region"), "node", "d1", F.col("component").alias("cluster"), F.col("first_id").alias("id"))
-    alone = lambda rows: rows.join(texts, "id").withColumn("own", F.lit(-1)).withColumn("also", F.lit("")).select(*MEMBER)
-    found = written(_join_regions(alone(members), width, t), "links")
+    units = F.ceil((F.col("chars") + 1) / UNIT).cast("int")
+    members, path = written_at(texts.join(wanted, "id").select("node", "d1", "text", units.alias("units"), "regions"), "members")
     release(spark)
-    many = groups.join(sizes.filter(F.col("size") > leaf), "group").select(F.col("_d1").alias("a"))
-    pairs = near.join(many, "a").select(F.col("a").alias("da"), F.col("b").alias("db")).join(side("a"), "da").join(side("b"), "db")
-    if not pairs.isEmpty():
-        compared = written(_compare(pairs.join(text("a"), "ia").join(text("b"), "ib"), width, t).distinct(), "links")
-        ends = compared.select(F.explode(F.array("a", "b")).alias("a")).groupBy("a").agg(F.count("*").alias("links"))
-        found = found.union(compared.withColumn("links", F.lit(None).cast("long"))).union(ends.select("a", F.lit(None).cast("long").alias("b"), "links"))
-        release(spark)
-    if not clusters.isEmpty():
-        members = classes.join(clusters.withColumnRenamed("node", "_d1"), F.col("d1") == F.col("_d1"))
-        members = members.select(F.col("component").cast("string").alias("region"), "node", "d1", F.lit(None).cast("long").alias("cluster"), F.col("first_id").alias("id"))
-        found = found.union(_join_regions(cut(written(alone(members), "members"), width, t, leaf, block), width, t))
-    found = written(found, "all-links")
+    region = F.explode("regions").alias("region")
+    sizes = written(members.select(region, "units").groupBy("region").agg(F.sum("units").alias("size")).filter(F.col("size") > leaf), "large")
+    rows = members.select(region, "node", "d1", "text", F.lit(-1).alias("own"), F.array_join("regions", ",").alias("also"), "units").select(*MEMBER)
+    found = _join_regions(rows.join(sizes, "region", "left_anti"), width, t)
+    if not sizes.isEmpty():
+        large = written(rows.join(sizes.select("region"), "region", "left_semi"), "cut")
+        found = found.union(_join_regions(cut(large, width, t, leaf, block), width, t))
+    found = written(found, "links")
+    discard(spark, path)
     release(spark)
     tree = found.filter("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     joined = components(tree, "a", "b").withColumnRenamed("component", "_root")
@@ -429,14 +425,14 @@ def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: five-word shingles, similarity 0.8; every row takes part under a number of its own, whatever its
-    doc_id. Of each component one row stays, that with the smallest doc_id (rows without one come last), and so do all
-    rows without shingles."""
-    columns = docs.columns
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), 5, 80)
-    linked = found.filter("links > 0 or class_size > 1").select(F.col("doc_id").alias("_row"), "component_id")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row")
-    members = written(linked.join(rows.select("_row", order.alias("_order")), "_row"), "members")
-    kept = members.groupBy("component_id").agg(F.min("_order").getField("_row").alias("_row"))
-    gone = members.select("_row").join(kept, "_row", "left_anti")
-    return rows.join(gone, "_row", "left_anti").select(*columns)
+    doc_id. Of each component one row stays, that with the smallest doc_id (rows without one come last, ties go by a
+    hash of the text), and so do all rows without shingles. Columns of any name pass through; an empty table stays
+    empty."""
+    rows = written(nested(docs).withColumn("number", F.monotonically_increasing_id()), "rows")
+    found = jaccard_components(rows.select(F.col("number").alias("doc_id"), "row.text"), 5, 80)
+    linked = found.filter("links > 0 or class_size > 1").select(F.col("doc_id").alias("number"), "component_id")
+    order = F.struct(F.col("row.doc_id").isNull(), "row.doc_id", F.xxhash64("row.text"), "number")
+    members = written(linked.join(rows.select("number", order.alias("place")), "number"), "members")
+    kept = members.groupBy("component_id").agg(F.min("place").getField("number").alias("number"))
+    gone = members.select("number").join(kept, "number", "left_anti")
+    return rows.join(gone, "number", "left_anti").select("row.*")

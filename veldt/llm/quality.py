@@ -25,7 +25,7 @@ from .tokens import _BASE, _CODE, powers, text_bytes
 FIT_ROWS = 20_000
 KEEP = 0.5
 MEASURES = ("upper", "signs", "bars", "digits", "high", "spaces", "word_length", "distinct", "stutter", "lines", "marks", "size", "short")
-_BLOCK = 2 << 20
+_BLOCK = 1 << 19
 
 
 def _per_text(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:

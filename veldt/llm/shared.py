@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,17 +10,13 @@ from pyspark.sql import functions as F
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which driver and executors share.
-
-    Only where no folder is set (single-machine tests) a temporary one is made.
-    """
+    """The folder named by spark.checkpoint.dir or set as checkpoint folder, which driver and executors share."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = jdir.get() if jdir.isDefined() else None
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="veldt-")
-        spark.sparkContext.setCheckpointDir(path)
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return path.rstrip("/")
 
 
@@ -60,6 +55,11 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def nested(docs: DataFrame) -> DataFrame:
+    """All columns as one struct named row, so that columns of any name can stand beside those a stage adds."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark remove shuffle files that no live DataFrame needs, once a written table stands for them."""
     gc.collect()

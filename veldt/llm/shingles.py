@@ -8,7 +8,7 @@ import numpy as np
 
 from .tokens import _BASE, _CODE, powers, text_bytes
 
-BLOCK = 2 << 20
+BLOCK = 1 << 19
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)

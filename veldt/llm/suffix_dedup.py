@@ -35,7 +35,7 @@ from .tokens import _BASE, _CODE, powers, text_bytes
 
 WIDTH = 100
 GRAM = 24
-_BLOCK = 1 << 20
+_BLOCK = 1 << 19
 #: Bytes of contexts in one suffix array, unless one gram alone has more.
 SHARD_BYTES = 2 << 20
 

@@ -30,7 +30,7 @@ _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 #: Bytes tokenised at once, and distinct pieces remembered before the memory starts anew.
-BLOCK = 2 << 20
+BLOCK = 1 << 19
 MEMORY = 1_500_000
 
 
