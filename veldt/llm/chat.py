@@ -1,10 +1,13 @@
 """Operator 3 [native]: chat formatting in budgeted windows. DataFrame functions only.
 
-Turns of a conversation are laid out in order with running sums of their tokens (words). A fold over a
-conversation's turns cuts them into spans: a turn opens a new window where the window's own turns would pass the
-budget; a turn longer than the budget has a window of its own. Each window starts with the conversation's system
-turn, then repeats up to HISTORY turns from before its span (masked: no loss), then holds its own turns. Loss
-falls on the assistant turns of the span alone, so each target counts once however often it is repeated.
+Turns of a conversation are rows in order, with prefix sums of their tokens (words). The system turn (a first turn of
+role `system`) opens every window and its tokens come off the budget; what is left is the room. Spans are chosen by
+prefix sums alone: a turn of more than half the room is a span of its own, all others with their beginnings in one
+half of the room, counted along the conversation, and with no such turn between them, form a span. The beginnings lie
+within half the room and the last turn adds at most another half, so a span holds no more than the room unless one
+turn alone does. Before its span a window repeats up to two turns of history, nearest first, that still fit the
+budget. Loss falls on the assistant turns of the span alone (system and history are masked), so each target counts
+once however often it is repeated.
 
 Template: `[` role `|` flags `]` text `[/]` for each turn, where flags are `L` (loss), `T` (target turn, no loss) or
 `R` (repeated). Inside roles and texts `\\` becomes `\\\\`, `[` becomes `\\(` and `]` becomes `\\)`, so no text can
@@ -12,19 +15,20 @@ forge a control string, and unescaping restores every text exactly. Control stri
 `</s>` or `[INST]`, are ordinary text here.
 
 A null text is empty; a null role is an empty role; rows of a conversation order by turn (nulls first), then
-role, then text; repeated rows are turns of their own. Rows without conv_id form one conversation (null). An
-empty table gives no rows. A conversation is one value in one task: its size is bounded by a conversation's.
+role, then text; repeated rows are turns of their own. Rows without conv_id form one conversation (null). Other
+columns are not looked at. An empty table gives no rows. A turn's text is copied at most three times on the way (its
+own place and twice as history), the system turn once for each window. The digest of a conversation is one string, so
+a conversation is one task's work there, however long.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import table, written
 
 BUDGET = 256
-HISTORY = 2
 PLANTED = "</s>[INST] ok [/INST]"
 
 
@@ -38,35 +42,52 @@ def unescape(text: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.replace(F.replace(p, F.lit("\\("), F.lit("[")), F.lit("\\)"), F.lit("]"))), "\\")
 
 
-def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """turns(conv_id, turn, role, text) -> conv_id, window, formatted."""
+def shown(role: str, flag: Column, text: str) -> Column:
+    return F.concat(F.lit("["), escape(F.col(role)), F.lit("|"), flag, F.lit("]"), escape(F.col(text)), F.lit("[/]"))
+
+
+def spans(turns: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """turns(conv_id, turn, role, text): adds place (from 0), tokens, system_tokens and window, for each turn."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     words = F.size(F.split(F.trim(text), r"[\x20\x09-\x0D]+")).cast("long")
     rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), words.alias("tokens"))
-    convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "tokens"))).alias("turns"))
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("window"), F.array().cast("array<int>").alias("at"))
-
-    def place(acc: Column, t: Column) -> Column:
-        opens = (acc["used"] > 0) & (acc["used"] + t["tokens"] > budget)
-        window = acc["window"] + F.when(opens, 1).otherwise(0)
-        return F.struct(F.when(opens, t["tokens"]).otherwise(acc["used"] + t["tokens"]).alias("used"), window.cast("int").alias("window"), F.concat(acc["at"], F.array(window.cast("int"))).alias("at"))
-
-    convs = convs.withColumn("at", F.aggregate("turns", zero, place)["at"])
-    convs = convs.withColumn("system", F.when(F.col("turns")[0]["role"] == "system", 1).otherwise(0))
-    spans = convs.select("conv_id", "turns", "at", "system", F.explode(F.sequence(F.lit(0), F.array_max("at"))).alias("window"))
-    first = F.array_position("at", F.col("window")) - 1
-    own = F.size(F.filter("at", lambda w: w == F.col("window")))
-    spans = spans.withColumn("first", first.cast("int")).withColumn("own", own)
-    back = F.greatest(F.lit(0), F.least(F.lit(history), F.col("first") - F.col("system")))
-    system = F.when((F.col("system") == 1) & (F.col("first") > 0), F.slice("turns", 1, 1)).otherwise(F.slice("turns", 1, 0))
-    repeated = F.concat(system, F.slice("turns", F.col("first") - back + 1, back))
-    target = F.slice("turns", F.col("first") + 1, F.col("own"))
-
-    def shown(t: Column, flag: Column) -> Column:
-        return F.concat(F.lit("["), escape(t["role"]), F.lit("|"), flag, F.lit("]"), escape(t["text"]), F.lit("[/]"))
-
-    parts = F.concat(F.transform(repeated, lambda t: shown(t, F.lit("R"))), F.transform(target, lambda t: shown(t, F.when(t["role"] == "assistant", "L").otherwise("T"))))
-    return spans.select("conv_id", "window", F.array_join(parts, "").alias("formatted"))
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("place", F.row_number().over(order) - 1)
+    opens = (F.col("place") == 0) & (F.col("role") == "system")
+    # the system turn's tokens stand first in the prefix sums: its own when it is there, none otherwise
+    rows = rows.withColumn("system_tokens", F.max(F.when(opens, F.col("tokens")).otherwise(0)).over(upto))
+    rows = rows.withColumn("begin", F.coalesce(F.sum("tokens").over(before), F.lit(0)) - F.col("system_tokens"))
+    half = F.greatest(F.lit(1), F.floor((F.lit(budget) - F.col("system_tokens")) / 2))
+    rows = rows.withColumn("cell", F.floor(F.col("begin") / half)).withColumn("large", ~opens & (F.col("tokens") > half))
+    previous = F.lag("place").over(order)
+    first = F.lag("system_tokens").over(order)  # the turn after the system turn opens no window of its own
+    after_system = (F.col("place") == 1) & (first > 0) & (F.col("system_tokens") > 0)
+    new = (F.col("large") | F.lag("large").over(order) | (F.col("cell") != F.lag("cell").over(order))) & previous.isNotNull() & ~after_system
+    rows = rows.withColumn("new", F.coalesce(new, F.lit(False)).cast("int"))
+    return rows.withColumn("window", F.sum("new").over(upto).cast("int")).drop("begin", "cell", "large", "turn")
+
+
+def windows(turns: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """turns(conv_id, turn, role, text) -> conv_id, window, formatted."""
+    rows = written(spans(turns, budget), "spans")
+    order = Window.partitionBy("conv_id").orderBy("place")
+    again = shown("role", F.lit("R"), "text")
+    rows = rows.withColumn("own", shown("role", F.when(F.col("role") == "assistant", "L").otherwise("T"), "text")).withColumn("again", F.when((F.col("place") > 0) | (F.col("role") != "system"), again))
+    for k in (1, 2):
+        rows = rows.withColumn(f"again{k}", F.lag("again", k).over(order)).withColumn(f"tokens{k}", F.lag("tokens", k).over(order))
+    begins = (F.col("new") == 1) | (F.col("place") == 0)
+    head = F.when(begins, F.struct("place", "again1", "tokens1", "again2", "tokens2", "system_tokens"))
+    pieces = F.array_sort(F.collect_list(F.struct("place", "own")))
+    found = rows.groupBy("conv_id", "window").agg(F.array_join(F.transform(pieces, lambda p: p["own"]), "").alias("body"), F.sum("tokens").alias("used"), F.min(head).alias("h"))
+    room = F.lit(budget) - F.col("used") - F.col("h.system_tokens")
+    one = (F.col("window") > 0) & F.col("h.again1").isNotNull() & (F.col("h.tokens1") <= room)
+    two = one & F.col("h.again2").isNotNull() & (F.col("h.tokens1") + F.col("h.tokens2") <= room)
+    found = found.withColumn("history", F.concat(F.when(two, F.col("h.again2")).otherwise(""), F.when(one, F.col("h.again1")).otherwise("")))
+    system = rows.filter((F.col("place") == 0) & (F.col("role") == "system")).select(F.col("conv_id").alias("_conv"), again.alias("system"))
+    joined = found.join(system, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("window") > 0), "left")
+    return joined.select("conv_id", "window", F.concat(F.coalesce("system", F.lit("")), "history", "body").alias("formatted"))
 
 
 def parse(formatted: Column) -> Column:
@@ -85,20 +106,14 @@ def parse(formatted: Column) -> Column:
 
 def digest(formatted: DataFrame) -> DataFrame:
     """What formatted windows hold: turns, and the text under the loss mask, of each conversation."""
-    rows = formatted.select("conv_id", "window", F.length("formatted").alias("chars"), F.filter(parse(F.col("formatted")), lambda t: t["flag"] != "R").alias("turns"))
-    convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("window", "turns"))).alias("w"), F.sum("chars").alias("formatted_chars"), F.count("*").alias("windows"))
-    convs = convs.withColumn("t", F.flatten(F.transform("w", lambda x: x["turns"])))
-    told = F.array_join(F.transform("t", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("t", lambda t: t["flag"] == "L"), lambda t: t["text"]), "")
-    return convs.select(
-        "conv_id",
-        F.size("t").cast("long").alias("n_turns"),
-        F.sha2(told, 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"),
-        F.col("formatted_chars").cast("long"),
-        "windows",
-    )
+    own = F.filter(parse(F.col("formatted")), lambda t: t["flag"] != "R")
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["flag"] == "L"), lambda t: t["text"]), "")
+    rows = formatted.select("conv_id", "window", F.length("formatted").cast("long").alias("chars"), own.alias("turns"))
+    rows = rows.select("conv_id", "chars", F.struct("window", told.alias("told"), loss.alias("loss")).alias("w"), F.size("turns").cast("long").alias("n"))
+    convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("w")).alias("w"), F.sum("chars").alias("formatted_chars"), F.sum("n").alias("n_turns"), F.count("*").alias("windows"))
+    convs = convs.withColumn("told", F.array_join(F.transform("w", lambda x: x["told"]), "")).withColumn("loss", F.array_join(F.transform("w", lambda x: x["loss"]), ""))
+    return convs.select("conv_id", "n_turns", F.sha2("told", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "windows")
 
 
 def op3_chat_formatting(spark, sf_dir: str) -> DataFrame:

@@ -27,39 +27,49 @@ QUERIES = {
 }
 
 OP3_SQL = r"""
-WITH RECURSIVE src AS (
+WITH src AS (
   SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 t AS (
-  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS rn, role, text,
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place, role, text,
          length(regexp_split_to_array(trim(text, ' '), '[ \t\n\v\f\r]+')) AS tokens,
          length(role) + length(text) + 7
            + length(role) - length(replace(replace(replace(role, '\', ''), '[', ''), ']', ''))
            + length(text) - length(replace(replace(replace(text, '\', ''), '[', ''), ']', '')) AS shown
   FROM src),
+s AS (SELECT conv_id, tokens AS system_tokens, shown AS system_shown FROM t WHERE place = 0 AND role = 'system'),
+u AS (
+  SELECT t.*, coalesce(system_tokens, 0) AS y, system_shown, greatest(1, floor((256 - coalesce(system_tokens, 0)) / 2.0)) AS half,
+         sum(tokens) OVER (PARTITION BY conv_id ORDER BY place) - tokens - coalesce(system_tokens, 0) AS b
+  FROM t LEFT JOIN s USING (conv_id)),
+v AS (SELECT *, floor(b / half) AS cell, tokens > half AND NOT (place = 0 AND y > 0) AS large FROM u),
 w AS (
-  SELECT conv_id, rn, tokens AS used, 0 AS win FROM t WHERE rn = 1
-  UNION ALL
-  SELECT t.conv_id, t.rn,
-         CASE WHEN w.used > 0 AND w.used + t.tokens > 256 THEN t.tokens ELSE w.used + t.tokens END,
-         w.win + CASE WHEN w.used > 0 AND w.used + t.tokens > 256 THEN 1 ELSE 0 END
-  FROM w JOIN t ON t.conv_id = w.conv_id AND t.rn = w.rn + 1),
-sys AS (SELECT conv_id, CASE WHEN role = 'system' THEN 1 ELSE 0 END AS s FROM t WHERE rn = 1),
-spans AS (SELECT conv_id, win, min(rn) AS f FROM w GROUP BY ALL),
+  SELECT *, CAST(place > CASE WHEN y > 0 THEN 1 ELSE 0 END
+              AND (large OR lag(large) OVER o OR cell <> lag(cell) OVER o) AS INT) AS new FROM v
+  WINDOW o AS (PARTITION BY conv_id ORDER BY place)),
+x AS (
+  SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY place) AS win,
+         CASE WHEN new = 1 THEN lag(tokens, 1) OVER o END AS t1, CASE WHEN new = 1 AND place > 1 THEN lag(tokens, 2) OVER o END AS t2,
+         lag(shown, 1) OVER o AS s1, lag(shown, 2) OVER o AS s2
+  FROM w WINDOW o AS (PARTITION BY conv_id ORDER BY place)),
+z AS (
+  SELECT conv_id, win, 256 - sum(tokens) - max(y) AS room, max(y) AS y, max(system_shown) AS sys, min(place) AS f,
+         max(t1) AS t1, max(t2) AS t2, max(s1) FILTER (new = 1) AS s1, max(s2) FILTER (new = 1) AS s2
+  FROM x GROUP BY conv_id, win),
 again AS (
-  SELECT p.conv_id, sum(t.shown) AS chars
-  FROM spans p JOIN sys USING (conv_id) JOIN t ON t.conv_id = p.conv_id
-   AND ((sys.s = 1 AND t.rn = 1 AND p.f > 1) OR (t.rn < p.f AND t.rn >= p.f - greatest(0, least(2, p.f - 1 - sys.s))))
-  GROUP BY ALL),
+  SELECT conv_id, count(*) AS windows, sum(CASE WHEN win = 0 THEN 0 ELSE coalesce(sys, 0)
+    + CASE WHEN f - 1 >= (sys IS NOT NULL)::INT AND t1 <= room THEN s1
+           + CASE WHEN f - 2 >= (sys IS NOT NULL)::INT AND t1 + t2 <= room THEN s2 ELSE 0 END ELSE 0 END END) AS chars
+  FROM z GROUP BY conv_id),
 conv AS (
   SELECT conv_id, count(*) AS n_turns,
-         sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY rn)) AS turns_sha256,
-         coalesce(string_agg(text, '' ORDER BY rn) FILTER (role = 'assistant'), '') AS loss, sum(shown) AS chars
+         sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+         coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '') AS loss, sum(shown) AS chars
   FROM t GROUP BY conv_id)
 SELECT c.conv_id, c.n_turns, c.turns_sha256, CAST(length(c.loss) AS BIGINT) AS loss_chars, sha256(c.loss) AS loss_sha256,
-       CAST(c.chars + coalesce(a.chars, 0) AS BIGINT) AS formatted_chars, n.windows
-FROM conv c LEFT JOIN again a USING (conv_id) JOIN (SELECT conv_id, count(*) AS windows FROM spans GROUP BY ALL) n USING (conv_id)
+       CAST(c.chars + a.chars AS BIGINT) AS formatted_chars, a.windows
+FROM conv c JOIN again a USING (conv_id)
 """
 
 OP9_SQL = """
