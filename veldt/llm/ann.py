@@ -1,16 +1,18 @@
 """Operator 6: approximate nearest neighbours by a hierarchical navigable small-world graph for each shard.
 
-A shard's graph is built in waves that double: the nodes of a wave look for their neighbours among all nodes so
-far, choose up to M of them by the diversity rule (a candidate stays only if it is nearer to the node than to
-every neighbour chosen before it), and link back; a node whose list overflows chooses again by the same rule.
-Early nodes keep their far links, which make the graph navigable. Each higher layer holds one in M of the nodes
-below. The graph is stored as flat neighbour arrays. A query descends the layers greedily and searches the
-bottom one with a beam of EF; the shards' results are merged. Reported scores are exact cosines in double
-precision on the original vectors.
+A shard's graph is built from the top layer down; each higher layer holds one in M of the nodes below. Nodes are
+inserted in short waves (an eighth of the graph at most): a greedy descent through the layers above finds where to
+begin, a beam search of the layer's own graph finds up to WIDE candidates, up to M of them are chosen by the diversity
+rule (a candidate stays only if it is nearer to the node than to every neighbour chosen before it), and links go back;
+a node whose list overflows chooses again by the same rule. Early nodes keep their far links, which make the graph
+navigable. The graph is stored as flat neighbour arrays. A query descends the layers greedily and searches the
+bottom one with a beam of EF; the shards' results are merged. Shards hold regions, and a region that cannot hold a
+better cosine than those found is not searched (see vectors). Reported scores are exact cosines in double precision
+on the original vectors.
 
 Every vector is indexed. Vectors that are null, zero or hold null or non-finite components take no part, as
 query or candidate; vectors meet only those of their own length; fewer candidates than k give fewer rows;
-repeated ids are rows of their own.
+repeated ids are rows of their own; other columns are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -52,74 +54,80 @@ def _diverse(x: np.ndarray, nodes: np.ndarray, cand: np.ndarray, sims: np.ndarra
     return out
 
 
-def _layer(x: np.ndarray, m: int, cap: int) -> np.ndarray:
-    """Neighbour lists (n x cap, -1 for none) over the rows of x, which are unit vectors."""
-    n = len(x)
-    graph = np.full((n, cap), -1, np.int32)
-    done = 1
+def _insert(x: np.ndarray, graph: np.ndarray, done: int, upto: int, start: np.ndarray, m: int) -> None:
+    """Links the rows done..upto of x into the graph of the rows before: neighbours come from a beam search of that
+    graph from the start nodes, are chosen by the diversity rule, and are linked back to."""
+    cap, new = graph.shape[1], np.arange(done, upto)
+    cand, sims = beam(x[:done], x[new], graph[:done], start, WIDE)
+    picked = _diverse(x, new, cand, sims, m)
+    graph[new, : picked.shape[1]] = picked
+    # links back: sort (target, source) and append to the target's list, choosing again where it overflows
+    source, target = np.repeat(new, picked.shape[1]), picked.ravel()
+    source, target = source[target >= 0], target[target >= 0]
+    order = np.argsort(target, kind="stable")
+    source, target = source[order], target[order]
+    touched, first, counts = np.unique(target, return_index=True, return_counts=True)
+    back = np.full((len(touched), int(counts.max())), -1, np.int64)
+    back[np.repeat(np.arange(len(touched)), counts), np.arange(len(target)) - np.repeat(first, counts)] = source
+    both = np.hstack([graph[touched], back])
+    for lo in range(0, len(touched), 1024):
+        rows, c = touched[lo : lo + 1024], both[lo : lo + 1024]
+        s = np.where(c >= 0, np.einsum("nd,nwd->nw", x[rows], x[np.maximum(c, 0)]), -np.inf)
+        order = np.argsort(-s, axis=1, kind="stable")
+        c, s = np.take_along_axis(c, order, 1), np.take_along_axis(s, order, 1)
+        full = (c >= 0).sum(1) > cap
+        graph[rows] = -1
+        graph[rows[~full], : min(cap, c.shape[1])] = c[~full][:, :cap]
+        if full.any():
+            again = _diverse(x, rows[full], c[full], s[full], cap)
+            graph[rows[full], : again.shape[1]] = again
+
+
+def _waves(n: int, first: int) -> list[tuple[int, int]]:
+    """Runs of rows that are inserted together: an eighth of what is there already, at least 16."""
+    out, done = [], first
     while done < n:
-        upto = min(n, 2 * done)
-        new = np.arange(done, upto)
-        width = min(WIDE, upto - 1)
-        cand, sims = np.empty((len(new), width), np.int32), np.empty((len(new), width))
-        for lo in range(0, len(new), 512):
-            rows = new[lo : lo + 512]
-            s = x[rows] @ x[:upto].T
-            s[np.arange(len(rows)), rows] = -np.inf
-            top = np.argpartition(-s, width - 1, axis=1)[:, :width]
-            t = np.take_along_axis(s, top, 1)
-            order = np.argsort(-t, axis=1, kind="stable")
-            cand[lo : lo + 512], sims[lo : lo + 512] = np.take_along_axis(top, order, 1), np.take_along_axis(t, order, 1)
-        picked = _diverse(x, new, cand, sims, m)
-        graph[new, : picked.shape[1]] = picked
-        # links back: sort (target, source) and append to the target's list, choosing again where it overflows
-        source, target = np.repeat(new, picked.shape[1]), picked.ravel()
-        source, target = source[target >= 0], target[target >= 0]
-        order = np.argsort(target, kind="stable")
-        source, target = source[order], target[order]
-        touched, first, counts = np.unique(target, return_index=True, return_counts=True)
-        width = int(counts.max())
-        back = np.full((len(touched), width), -1, np.int32)
-        back[np.repeat(np.arange(len(touched)), counts), np.arange(len(target)) - np.repeat(first, counts)] = source
-        both = np.hstack([graph[touched], back])
-        for lo in range(0, len(touched), 1024):
-            rows, c = touched[lo : lo + 1024], both[lo : lo + 1024]
-            order = np.argsort(c, axis=1)
-            c = np.take_along_axis(c, order, 1)
-            c[:, 1:][c[:, 1:] == c[:, :-1]] = -1
-            s = np.where(c >= 0, np.einsum("nd,nwd->nw", x[rows], x[np.maximum(c, 0)]), -np.inf)
-            keep = min(c.shape[1], 3 * cap)
-            order = np.argsort(-s, axis=1, kind="stable")[:, :keep]
-            c, s = np.take_along_axis(c, order, 1), np.take_along_axis(s, order, 1)
-            full = (c >= 0).sum(1) > cap
-            graph[rows] = -1
-            graph[rows[~full], : min(cap, keep)] = c[~full][:, :cap]
-            if full.any():
-                again = _diverse(x, rows[full], c[full], s[full], cap)
-                graph[rows[full], : again.shape[1]] = again
+        upto = min(n, done + max(min(16, done), done // 8))
+        out.append((done, upto))
         done = upto
-    return graph
+    return out
 
 
 def build(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """links: number of layers, then for each layer its size and width, its nodes (as places in the layer below)
-    and its neighbour lists, bottom layer first. numbers: the vectors' lengths."""
+    """links: number of layers, then for each layer its size and width, its nodes and its neighbour lists, bottom
+    layer first. A layer's first nodes are those of the layer above, in the same order. numbers: the lengths."""
     norms = np.sqrt(np.einsum("nd,nd->n", v, v))
     x = v / norms[:, None]
-    rng = np.random.default_rng(11)
-    layers, places = [], np.arange(len(x))
-    while True:
-        graph = _layer(x[places], M, 2 * M)
-        layers.append((places, graph))
-        if len(places) <= M:
-            break
-        places = np.sort(rng.choice(places, max(1, len(places) // M), replace=False))
+    order = np.random.default_rng(11).permutation(len(x))
+    sizes = [len(x)]
+    while sizes[-1] > M:
+        sizes.append(max(1, sizes[-1] // M))
+    layers: list[tuple[np.ndarray, np.ndarray]] = []
+    for n in reversed(sizes):  # from the top
+        places = order[:n]
+        own, graph = x[places], np.full((n, 2 * M), -1, np.int64)
+        above = len(layers[0][0]) if layers else 1
+        for done, upto in _waves(n, 1):
+            start = np.zeros((upto - done, 1), np.int64)
+            if done >= above and layers:  # greedy descent through the layers above
+                start = descend(x, own[done:upto], layers)
+            _insert(own, graph, done, upto, start, M)
+        layers.insert(0, (places, graph))
     flat = [np.array([len(layers)])]
     for places, graph in layers:
         flat += [np.array([len(places), graph.shape[1]]), places, graph.ravel()]
     return np.concatenate(flat), norms
 
 
+def descend(x: np.ndarray, q: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The nodes of the lowest of the layers that greedy search from the top ends at, as places in it and so in the
+    layer below."""
+    start = np.zeros((len(q), 1), np.int64)
+    for places, graph in reversed(layers):
+        start, _ = beam(x[places], q, graph, start, 4)
+    return start
+
+
 def _layers(links: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     out, at = [], 1
     for _ in range(int(links[0])):
@@ -170,20 +178,16 @@ def beam(x: np.ndarray, q: np.ndarray, graph: np.ndarray, start: np.ndarray, ef:
 
 
 def finder(k: int, ef: int = EF):
-    def find(q, v, ids, links, norms):
+    def find(q, v, ids, links, norms, least):
         x = v / norms[:, None]
         size = np.sqrt(np.einsum("qd,qd->q", q, q))
         unit = q / size[:, None]
         layers = _layers(links)
-        start = np.zeros((len(q), 1), np.int64)
-        for level in range(len(layers) - 1, -1, -1):
-            places, graph = layers[level]
-            near, _ = beam(x[places], unit, graph, start, ef if level == 0 else 4)
-            if level:
-                below = layers[level - 1][0]
-                start = np.where(near >= 0, np.searchsorted(below, places[np.maximum(near, 0)]), -1)
+        start = descend(x, unit, layers[1:]) if len(layers) > 1 else np.zeros((len(q), 1), np.int64)
+        places, graph = layers[0]
+        near, _ = beam(x[places], unit, graph, start, ef)
         for i in range(len(q)):
-            c = near[i][near[i] >= 0]
+            c = places[near[i][near[i] >= 0]]
             exact = np.einsum("d,nd->n", q[i], v[c]) / (size[i] * norms[c])
             order = np.lexsort(([ids[j][0] for j in c], -exact))[: k + 1]
             yield c[order], exact[order]
@@ -195,4 +199,4 @@ def op6_ann(spark, sf_dir: str, k: int = 5, every: int = 50) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
     rows = rows.filter(valid(F.col("v"), zero=True) & F.col("vec_id").isNotNull()).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
     queries = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    return search(queries, indexed(rows, k + 1, build), finder(k), k, "double")
+    return search(queries, indexed(rows, k + 1, build, unit=True), finder(k), k, "double")
