@@ -3,8 +3,7 @@
 Documents are aggregated by the set of sources that they belong to (their pattern). Words flow from patterns to
 the sources' quotas; each further use of a pattern's words costs one more than the use before, so the cost is
 convex and no words repeat while unused ones could serve. The flow has one node for each pattern and source,
-never one for each document. Patterns and sources that touch nothing else need no search: their flow is the
-smaller of capacity and quota.
+never one for each document. Every pattern goes through the network, single sources as well.
 
 Within a pattern, documents are taken whole, in the order of a seeded hash, until the flow is used up; then the
 document whose size is nearest to what is still missing closes the gap. Running sums work on slices of the
@@ -13,7 +12,7 @@ it holds.
 
 Sizes are words, `[^\\x20\\x09-\\x0D]+`. A null or empty text has size 0: it belongs to the mix as long as its
 pattern does, and counts nothing. A null source is a source of its own, last in order. Repeated rows count each.
-An empty table gives no rows. More than `max_patterns` patterns raise an error rather than overfill the driver.
+Other columns are not looked at. An empty table gives no rows. More than `max_patterns` patterns raise an error rather than overfill the driver.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ from collections import defaultdict, deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import nested, table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -56,74 +55,79 @@ def water_fill(sizes: list[int], weights: list[float], total: float, cap: float)
     return out
 
 
-class _Flow:
-    """Min-cost max-flow by shortest augmenting paths; a path's cost is its repetition."""
+class Flow:
+    """Maximum flow by blocking flows in level graphs. Arcs may be added between runs; flow so far stays."""
 
     def __init__(self, n: int):
-        self.edges: list[list] = []
+        self.to: list[int] = []
+        self.room: list[int] = []
         self.at: list[list[int]] = [[] for _ in range(n)]
 
-    def add(self, a: int, b: int, capacity: int, cost: int) -> int:
-        self.edges += [[b, capacity, cost], [a, 0, -cost]]
-        self.at[a].append(len(self.edges) - 2)
-        self.at[b].append(len(self.edges) - 1)
-        return len(self.edges) - 2
+    def add(self, a: int, b: int, capacity: int) -> int:
+        for x, y, room in ((a, b, capacity), (b, a, 0)):
+            self.at[x].append(len(self.to))
+            self.to.append(y)
+            self.room.append(room)
+        return len(self.to) - 2
+
+    def sent(self, arc: int) -> int:
+        return self.room[arc ^ 1]
+
+    def _levels(self, source: int, sink: int) -> list[int] | None:
+        level, queue = [-1] * len(self.at), deque([source])
+        level[source] = 0
+        while queue:
+            x = queue.popleft()
+            for e in self.at[x]:
+                y = self.to[e]
+                if self.room[e] > 0 and level[y] < 0:
+                    level[y] = level[x] + 1
+                    queue.append(y)
+        return level if level[sink] >= 0 else None
 
     def run(self, source: int, sink: int) -> None:
-        while True:
-            dist, via, queue, queued = {source: 0}, {}, deque([source]), {source}
-            while queue:
-                a = queue.popleft()
-                queued.discard(a)
-                for e in self.at[a]:
-                    b, capacity, cost = self.edges[e]
-                    if capacity > 0 and dist[a] + cost < dist.get(b, 1 << 60):
-                        dist[b], via[b] = dist[a] + cost, e
-                        if b not in queued:
-                            queue.append(b)
-                            queued.add(b)
-            if sink not in dist:
-                return
-            path, b = [], sink
-            while b != source:
-                path.append(via[b])
-                b = self.edges[via[b] ^ 1][0]
-            push = min(self.edges[e][1] for e in path)
-            for e in path:
-                self.edges[e][1] -= push
-                self.edges[e ^ 1][1] += push
+        while level := self._levels(source, sink):
+            untried = [iter(arcs) for arcs in self.at]
+            path, x = [], source
+            while True:
+                if x == sink:
+                    push = min(self.room[e] for e in path)
+                    for e in path:
+                        self.room[e] -= push
+                        self.room[e ^ 1] += push
+                    # go on from the start of the first arc that is full now
+                    full = next(i for i, e in enumerate(path) if not self.room[e])
+                    x = self.to[path[full] ^ 1]
+                    del path[full:]
+                    continue
+                e = next((e for e in untried[x] if self.room[e] > 0 and level[self.to[e]] == level[x] + 1), None)
+                if e is not None:
+                    path.append(e)
+                    x = self.to[e]
+                elif path:
+                    x = self.to[path.pop() ^ 1]
+                else:
+                    break
 
 
 def route(patterns: list[tuple[tuple, int]], quotas: dict, repeats: int = REPEATS) -> list[dict]:
-    """patterns: (sources, words). Gives for each pattern the words that go to each source."""
-    touching = defaultdict(list)
-    for i, (sources, _) in enumerate(patterns):
-        for s in sources:
-            touching[s].append(i)
-    out: list[dict] = [{} for _ in patterns]
-    linked = []
-    for i, (sources, words) in enumerate(patterns):
-        if len(sources) == 1 and len(touching[sources[0]]) == 1:
-            out[i][sources[0]] = min(repeats * words, quotas.get(sources[0], 0))
-        elif sources:
-            linked.append(i)
-    if linked:
-        sources = sorted({s for i in linked for s in patterns[i][0]}, key=lambda s: (s is None, s))
-        place = {s: 2 + len(linked) + k for k, s in enumerate(sources)}
-        flow = _Flow(2 + len(linked) + len(sources))
-        for s in sources:
-            flow.add(place[s], 1, quotas.get(s, 0), 0)
-        arcs = {}
-        for k, i in enumerate(linked):
-            for r in range(repeats):
-                flow.add(0, 2 + k, patterns[i][1], r)
-            for s in patterns[i][0]:
-                arcs[i, s] = flow.add(2 + k, place[s], repeats * patterns[i][1], 0)
+    """patterns: (sources, words). Gives for each pattern the words that go to each source, by a min-cost flow.
+
+    The r-th use of a pattern's words costs r, and only the arcs into patterns cost anything, so a path costs what its
+    first arc does. Shortest paths first therefore means: all flow that first uses allow, then what second uses add to
+    it (earlier flow may be led another way), and so on. That is a maximum flow of least cost.
+    """
+    sources = sorted({s for own, _ in patterns for s in own}, key=lambda s: (s is None, s or ""))
+    place = {s: 2 + len(patterns) + k for k, s in enumerate(sources)}
+    flow = Flow(2 + len(patterns) + len(sources))
+    for s in sources:
+        flow.add(place[s], 1, quotas.get(s, 0))
+    arcs = [{s: flow.add(2 + i, place[s], repeats * words) for s in own} for i, (own, words) in enumerate(patterns)]
+    for _ in range(repeats):
+        for i, (_, words) in enumerate(patterns):
+            flow.add(0, 2 + i, words)
         flow.run(0, 1)
-        for (i, s), e in arcs.items():
-            if flow.edges[e ^ 1][1]:
-                out[i][s] = flow.edges[e ^ 1][1]
-    return out
+    return [{s: flow.sent(e) for s, e in own.items() if flow.sent(e)} for own in arcs]
 
 
 def plan(docs: DataFrame, share: float = SHARE, weights=WEIGHTS, repeats: int = REPEATS, max_patterns: int = MAX_PATTERNS) -> tuple[list[dict], list[dict]]:
@@ -180,16 +184,18 @@ def members(docs: DataFrame, sources: str | Column = "source") -> DataFrame:
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
     docs = members(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "source", "pattern", "size")
+    docs = written(docs, "sizes")
     sources, flows = plan(docs)
     goals = spark.createDataFrame([(s["source"], s["source_size"], s["target"]) for s in sources], "goal_source string, source_size long, target double")
-    mixed = select(docs, flows).join(goals, F.col("source").eqNullSafe(F.col("goal_source")))
+    mixed = select(docs, flows).join(F.broadcast(goals), F.col("source").eqNullSafe(F.col("goal_source")))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document as often as the mix takes it."""
-    columns = docs.columns
-    rows = members(docs)
+    """Pipeline stage: each document as often as the mix takes it. Columns of any name pass through; null sources and
+    texts as above; an empty table stays empty."""
+    rows = nested(docs).select("row", "row.doc_id", F.array("row.source").alias("pattern"), size_of(F.col("row.text")).alias("size"))
+    rows = written(rows, "sizes")
     _, flows = plan(rows.select("pattern", "size"))
-    chosen = select(rows.select("doc_id", "pattern", "size", *[c for c in columns if c != "doc_id"]), flows)
-    return chosen.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+    chosen = select(rows, flows).filter("copies > 0")
+    return chosen.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
