@@ -2,13 +2,15 @@
 
 A document's own evidence is a logistic classifier over surface measures of its whole text (case, signs, table
 bars, repeated words, word lengths, ...), fitted on at most FIT_ROWS labelled rows. Its expected labels are
-summed by host and by path within host. A host's rate shrinks towards the global rate, a path's towards its
-host's, each with the strength that the spread between the groups supports (method of moments), so sparse sites
-stay near their parents. The posterior odds of a document are its likelihood ratio times its path's prior odds.
+summed by host and by path within host. A host's rate shrinks towards the global rate with the strength that the
+spread between hosts supports, a path's towards its host's with the strength that the spread between paths of a host
+supports (method of moments for each level), so sparse sites stay near their parents. The posterior odds of a document
+are its likelihood ratio times its path's prior odds, and its own evidence is left out of the sums behind that prior.
 
 Every grouped sum pre-aggregates before its shuffle; posteriors are one row for each path. Defined results: a
 null or empty text has measures of 0; a null host or path is a group of its own; repeated rows count each;
-without labelled rows of both kinds every document's own probability is 0.5; an empty table gives no rows.
+without labelled rows of both kinds every document's own probability is 0.5; other columns are not looked at; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table, written
+from .shared import nested, table, written
 from .tokens import _BASE, _CODE, powers, text_bytes
 
 #: At most about so many labelled rows fit the classifier; chosen by a hash of doc_id.
@@ -159,48 +161,57 @@ def _logit(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
-def pooled(s: float, n: int, k: int, ss: float, nn: int) -> tuple[float, float]:
-    """The global rate, and how many documents the prior is worth: rate (1 - rate) / variance between hosts - 1."""
-    if not n:
-        return 0.5, 1.0
-    rate = s / n
-    within = rate * (1 - rate)
-    between = (ss - n * rate * rate - (k - 1) * within) / max(1e-9, n - nn / n)
-    return rate, max(1.0, min(1e6, within / max(1e-9, between) - 1))
+def strength(within: float, between: float) -> float:
+    """How many documents a prior is worth: variance within groups over variance between them, less one."""
+    return max(1.0, min(1e6, within / max(1e-9, between) - 1))
 
 
-def posteriors(scored: DataFrame) -> DataFrame:
-    """scored(host, path, p): one row for each path with its shrunken rate."""
+def posteriors(scored: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+    """scored(host, path, p): one row for each path with its own and its host's sums; totals, and the strengths of the
+    global prior of hosts and of the host prior of paths, each by the method of moments for its own level."""
     paths = written(scored.groupBy("host", "path").agg(F.sum("p").alias("s"), F.count("*").alias("n")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("s").alias("hs"), F.sum("n").alias("hn"))
-    one = hosts.agg(F.sum("hs").alias("s"), F.sum("hn").alias("n"), F.count("*").alias("k"), F.sum(F.col("hs") * F.col("hs") / F.col("hn")).alias("ss"), F.sum(F.col("hn") * F.col("hn")).alias("nn")).first()
-    rate, worth = pooled(one.s or 0.0, one.n or 0, one.k, one.ss or 0.0, one.nn or 0)
-    hosts = hosts.select("host", ((F.col("hs") + worth * rate) / (F.col("hn") + worth)).alias("host_rate"))
-    hosts = hosts.withColumnRenamed("host", "_host")
-    out = paths.join(hosts, F.col("host").eqNullSafe(F.col("_host")))
-    return out.select(F.col("host").alias("_host"), F.col("path").alias("_path"), F.lit(rate).alias("rate"), "host_rate", ((F.col("s") + worth * F.col("host_rate")) / (F.col("n") + worth)).alias("path_rate"))
-
-
-def combine(scored: DataFrame, rates: DataFrame) -> DataFrame:
-    """Adds host_rate, path_rate and quality, the posterior probability, to scored(host, path, p, ...)."""
+    square = F.col("s") * F.col("s") / F.col("n")
+    hosts = paths.groupBy("host").agg(F.sum("s").alias("hs"), F.sum("n").alias("hn"), F.sum(square).alias("ss"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count("*").alias("k"))
+    of_hosts = F.sum(F.col("hs") * F.col("hs") / F.col("hn"))
+    one = hosts.agg(F.sum("hs").alias("s"), F.sum("hn").alias("n"), F.count("*").alias("h"), F.sum("k").alias("k"), of_hosts.alias("hh"), F.sum(F.col("hn") * F.col("hn")).alias("hn2"), F.sum("ss").alias("pp"), F.sum(F.col("nn") / F.col("hn")).alias("pn2")).first()
+    total = {"s": one.s or 0.0, "n": float(one.n or 0), "host": 1.0, "path": 1.0}
+    if one.n:
+        rate = one.s / one.n
+        within = rate * (1 - rate)
+        total["host"] = strength(within, (one.hh - one.n * rate * rate - (one.h - 1) * within) / max(1e-9, one.n - one.hn2 / one.n))
+        within = (one.s - one.hh) / one.n
+        total["path"] = strength(within, (one.pp - one.hh - (one.k - one.h) * within) / max(1e-9, one.n - one.pn2))
+    hosts = hosts.select(F.col("host").alias("_host"), "hs", "hn")
+    rates = paths.join(hosts, F.col("host").eqNullSafe(F.col("_host")))
+    return rates.select("_host", F.col("path").alias("_path"), "s", "n", "hs", "hn"), total
+
+
+def combine(scored: DataFrame, rates: DataFrame, total: dict[str, float]) -> DataFrame:
+    """Adds host_rate, path_rate and quality, the posterior probability, to scored(host, path, p, ...). A document's
+    own evidence is left out of its priors, so that it counts once."""
     joined = scored.join(rates, F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path")))
-    odds = _logit(F.col("p")) - _logit(F.col("rate")) + _logit(F.col("path_rate"))
-    return joined.withColumn("quality", 1 / (1 + F.exp(-odds))).drop("_host", "_path", "rate")
+    p = F.col("p")
+    rate = (F.lit(total["s"]) - p) / (total["n"] - 1) if total["n"] > 1 else F.lit(0.5)
+    joined = joined.withColumn("_rate", rate)
+    joined = joined.withColumn("host_rate", (F.col("hs") - p + total["host"] * F.col("_rate")) / (F.col("hn") - 1 + total["host"]))
+    joined = joined.withColumn("path_rate", (F.col("s") - p + total["path"] * F.col("host_rate")) / (F.col("n") - 1 + total["path"]))
+    odds = _logit(p) - _logit(F.col("_rate")) + _logit(F.col("path_rate"))
+    return joined.withColumn("quality", 1 / (1 + F.exp(-odds))).drop("_host", "_path", "s", "n", "hs", "hn", "_rate")
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
     scored = written(docs.select("doc_id", F.col("source").alias("host"), F.col("lang").alias("path"), evidence(model)(F.col("text")).alias("p")), "quality")
-    out = combine(scored, posteriors(scored))
+    out = combine(scored, *posteriors(scored))
     return out.select("doc_id", "host", "path", "p", "host_rate", "path_rate", "quality", (F.col("quality") >= KEEP).alias("keep"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the classifier rejects go."""
-    columns = docs.columns
+    """Pipeline stage: documents that the classifier rejects go. Columns of any name pass through; null texts, hosts and
+    paths as above; repeated rows count each; an empty table stays empty."""
     model = train(docs, table(spark, sf_dir, "labels"))
-    p = evidence(model)
-    scored = docs.select(*columns, F.col("source").alias("host"), F.col("lang").alias("path"), p(F.col("text")).alias("p"))
-    rates = posteriors(scored.select("host", "path", "p"))
-    return combine(scored, rates).filter(F.col("quality") >= KEEP).select(*columns)
+    text = F.col("row.text")
+    scored = nested(docs).select("row", F.col("row.source").alias("host"), F.col("row.lang").alias("path"), text.alias("text"))
+    scored = written(scored.select("row", "host", "path", evidence(model)(F.col("text")).alias("p")), "quality")
+    return combine(scored, *posteriors(scored.select("host", "path", "p"))).filter(F.col("quality") >= KEEP).select("row.*")
