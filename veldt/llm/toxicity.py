@@ -9,7 +9,9 @@ fitted on the same rows turns it into a score.
 
 Only the text enters a score. Null and empty texts have no match and get the curve's value there. Without
 training rows of both kinds every score is the share of toxic rows (0 without any). Repeated rows score alike;
-an empty table gives no rows. On the driver: at most MAX_ENTRIES entries and FIT_ROWS pairs of numbers.
+other
+columns are not looked at; an empty table gives no rows. On the driver: FIT_ROWS pairs of numbers, and the lexicon and
+its exceptions, whole: both hold only what three rows of that sample or more contain.
 """
 
 from __future__ import annotations
@@ -26,7 +28,6 @@ from pyspark.sql import functions as F
 from .shared import table, written
 
 FIT_ROWS = 12_000
-MAX_ENTRIES = 4_000
 #: An entry occurs in at least so many toxic rows, and in this share of them.
 MIN_DOCS, MIN_SHARE = 3, 0.003
 MIN_WEIGHT = 3.0
@@ -93,24 +94,24 @@ class Lexicon:
     def measure(self, text: str) -> tuple[float, float]:
         """Weight of the matches outside exceptions: in all, and for each hundred characters."""
         folded = fold(text)
-        total = 0.0
-        for at, w in self.matches(folded):
-            if not self.exceptions or not (self.exceptions & set(phrases(folded, at))):
-                total += w
+        found = self.matches(folded)
+        near = phrases(folded, [at for at, _ in found]) if self.exceptions and found else {}
+        total = sum(w for at, w in found if self.exceptions.isdisjoint(near.get(at, ())))
         return math.log1p(total), 100 * total / (len(folded) + 200)
 
     def score(self, measures: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.curve[0] + measures @ np.asarray(self.curve[1:]), -30, 30)))
 
 
-def phrases(folded: str, at: int) -> tuple[str, ...]:
-    """The word at `at` with the word before it and with the word after it."""
-    m = _WORD.match(folded, at)
-    if not m:
-        return ()
-    before = _WORD.findall(folded[max(0, at - 40) : at])
-    after = _WORD.search(folded, m.end(), m.end() + 40)
-    return tuple(x for x in (f"{before[-1]} {m[0]}" if before else "", f"{m[0]} {after[0]}" if after else "") if x)
+def phrases(folded: str, at: list[int]) -> dict[int, list[str]]:
+    """For each place where a word begins, the word with the one before it and with the one after it."""
+    words = list(_WORD.finditer(folded))
+    place = {m.start(): i for i, m in enumerate(words)}
+    out = {}
+    for x in at:
+        if (i := place.get(x)) is not None:
+            out[x] = [f"{a[0]} {b[0]}" for a, b in zip(words[max(0, i - 1) : i + 1], words[max(0, i - 1) + 1 : i + 2])]
+    return out
 
 
 def _counted(rows: DataFrame, of, schema: str = "entry string, toxic long, clean long") -> DataFrame:
@@ -148,7 +149,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, exceptio
     odds = F.log((F.col("toxic") + 0.5) / F.lit(ny.p + 1.0)) - F.log((F.col("clean") + 0.5) / F.lit(ny.n - ny.p + 1.0))
     found = _counted(rows, lambda t: beginnings(fold(t))).withColumn("weight", odds)
     found = found.filter((F.col("toxic") >= max(MIN_DOCS, MIN_SHARE * ny.p)) & (F.col("weight") >= MIN_WEIGHT))
-    top = found.orderBy(F.desc("toxic"), F.length("entry"), "entry").limit(MAX_ENTRIES).collect()
+    top = found.orderBy(F.desc("toxic"), F.length("entry"), "entry").collect()
     weights: dict[str, float] = {}
     for r in top:  # a longer entry stays only where it says clearly more than a shorter one that begins it
         shorter = max((weights.get(r.entry[:k], 0.0) for k in range(SHORTEST, len(r.entry))), default=0.0)
@@ -158,9 +159,9 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, exceptio
 
     def held(text: str) -> set[str]:
         folded = fold(text)
-        return {p for at, _ in lexicon.matches(folded) for p in phrases(folded, at)}
+        return {p for near in phrases(folded, [at for at, _ in lexicon.matches(folded)]).values() for p in near}
 
-    benign = _counted(rows, held).filter("toxic = 0 and clean >= 3").orderBy(F.desc("clean"), "entry").limit(MAX_ENTRIES)
+    benign = _counted(rows, held).filter("toxic = 0 and clean >= 3")
     lexicon.exceptions = {fold(x) for x in exceptions} | {r.entry for r in benign.collect()}
 
     def measure(batches):
