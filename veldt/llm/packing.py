@@ -3,17 +3,16 @@
 Every text becomes its ids and an end id; only texts longer than a sequence are cut. Pieces are dealt by a hash
 into groups of about GROUP pieces, so that no key decides a group's size, and each group is packed on its own:
 best fit, longest first, then local search. The search takes the emptiest bins in turn and moves a piece into
-a fuller bin, or exchanges one piece for a shorter one or for two shorter ones, whenever the sum of squared
-fills grows; a bin whose pieces have all left is gone. It stops at the lower bound, or when EFFORT bins in
-succession could not be emptied. A group wastes less than one sequence over its bound by being a group.
+another bin, or exchanges one or two pieces for a shorter one or one for two, whenever the sum of squared fills grows,
+the largest growth first; a bin whose pieces have all left is gone. It stops at the lower bound, or when a whole pass
+over the bins has emptied none. A group wastes less than one sequence over its bound by being a group.
 
-Null and empty texts are one piece, the end id. Repeated rows are packed each for itself. An empty table gives
-no rows. Memory: one group of pieces, without their ids.
+Null and empty texts are one piece, the end id. Repeated rows are packed each for itself. Other
+columns are not looked at. An empty table gives no rows. Memory: one group of pieces, without their ids.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +24,6 @@ from .shared import table, written
 from .tokens import Encoder, crc, tokenizer_path
 
 GROUP = 16_384
-EFFORT = 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, sequence_id long, offset long"
 
@@ -93,87 +91,83 @@ def lower_bound(lengths: list[int], size: int) -> int:
 
 
 class Search:
-    """Local search over the bins that have room."""
+    """Local search over the bins that have room. A trade takes some pieces out of bin a for fewer tokens from bin b, and
+    is made only if the sum of squared fills grows: b, with what it gains, becomes fuller than a was."""
 
     def __init__(self, lengths: list[int], bins: list[list[int]], size: int):
-        self.lengths, self.bins, self.size = lengths, bins, size
-        self.room = [size - sum(lengths[i] for i in b) for b in bins]
-        self.by_room: dict[int, set[int]] = defaultdict(set)
-        for b, r in enumerate(self.room):
-            if r:
-                self.by_room[r].add(b)
-
-    def _shift(self, b: int, change: int) -> None:
-        self.by_room[self.room[b]].discard(b)
-        self.room[b] -= change
-        if 0 < self.room[b] < self.size:
-            self.by_room[self.room[b]].add(b)
+        self.lengths, self.size = np.asarray(lengths, np.int64), size
+        self.bins = bins
+        self.where = np.empty(len(lengths), np.int64)
+        for b, own in enumerate(bins):
+            self.where[own] = b
+        self.fill = np.array([int(self.lengths[own].sum()) for own in bins], np.int64)
+        self.pairs_of: dict[int, np.ndarray] = {}
+
+    def _pairs(self, b: int) -> np.ndarray:
+        """Pairs of pieces of a bin: sum, first, second; one for each sum."""
+        if b not in self.pairs_of:
+            own = np.array(self.bins[b])
+            i, j = np.triu_indices(len(own), 1)
+            total = self.lengths[own[i]] + self.lengths[own[j]]
+            total, first = np.unique(total, return_index=True)
+            self.pairs_of[b] = np.stack([total, own[i[first]], own[j[first]], np.full(len(total), b)])
+        return self.pairs_of[b]
 
     def _trade(self, a: int, out: list[int], b: int, back: list[int]) -> None:
-        change = sum(self.lengths[i] for i in out) - sum(self.lengths[i] for i in back)
-        for i in out:
-            self.bins[a].remove(i)
-        for i in back:
-            self.bins[b].remove(i)
-        self.bins[a] += back
-        self.bins[b] += out
-        self._shift(a, -change)
-        self._shift(b, change)
-
-    def _others(self, a: int) -> Iterator[int]:
-        for r in sorted(r for r, s in self.by_room.items() if s):
-            yield from [b for b in sorted(self.by_room[r]) if b != a and self.room[b] <= self.room[a]]
+        for pieces, x, y in ((out, a, b), (back, b, a)):
+            for i in pieces:
+                self.bins[x].remove(i)
+                self.bins[y].append(i)
+                self.where[i] = y
+                self.fill[[x, y]] += [-self.lengths[i], self.lengths[i]]
+        self.pairs_of.pop(a, None)
+        self.pairs_of.pop(b, None)
+
+    def _best(self, a: int, total: int, theirs: np.ndarray, bins: np.ndarray) -> tuple[int, int] | None:
+        """Of what other bins could give for `total` tokens of bin a: growth of the squared fills, and place."""
+        gain, fill = total - theirs, self.fill[bins]
+        ok = (gain > 0) & (fill + gain <= self.size) & (fill + gain > self.fill[a]) & (bins != a)
+        if not ok.any():
+            return None
+        growth = np.where(ok, 2 * gain * (fill - self.fill[a] + gain), 0)
+        at = int(growth.argmax())
+        return int(growth[at]), at
 
     def step(self, a: int) -> bool:
-        """One move or exchange that makes a fuller bin fuller still at the cost of bin a."""
-        own = sorted(self.bins[a], key=lambda i: -self.lengths[i])
-        for i in own:
-            n = self.lengths[i]
-            fit = min((r for r, s in self.by_room.items() if r >= n and s - {a}), default=None)
-            if fit is not None:
-                self._trade(a, [i], min(self.by_room[fit] - {a}), [])
-                return True
-        tried = 0
-        for b in self._others(a):
-            room, theirs = self.room[b], self.bins[b]
-            tried += 1
-            if tried > 4 * EFFORT:
-                break
-            best = None
-            for i in own:
-                n = self.lengths[i]
-                for j in theirs:
-                    gain = n - self.lengths[j]
-                    if 0 < gain <= room and (best is None or gain > best[0]):
-                        best = (gain, [i], [j])
-                for x, j in enumerate(theirs):
-                    for k in theirs[x + 1 :]:
-                        gain = n - self.lengths[j] - self.lengths[k]
-                        if 0 < gain <= room and (best is None or gain > best[0]):
-                            best = (gain, [i], [j, k])
-                for y in own:
-                    if y > i:
-                        for j in theirs:
-                            gain = n + self.lengths[y] - self.lengths[j]
-                            if 0 < gain <= room and (best is None or gain > best[0]):
-                                best = (gain, [i, y], [j])
-            if best:
-                self._trade(a, best[1], b, best[2])
-                return True
-        return False
+        """The move or exchange that raises the squared fills most: a piece moves, or one or two pieces go for one, or
+        one for two."""
+        open_ = (self.fill > 0) & (self.fill < self.size)
+        open_[a] = False
+        bins = np.flatnonzero(open_)
+        if not len(bins):
+            return False
+        pieces = np.flatnonzero(open_[self.where])
+        pairs = np.concatenate([self._pairs(b) for b in bins.tolist()], axis=1)
+        own = {int(n): i for n, i in zip(self.lengths[self.bins[a]], self.bins[a], strict=True)}
+        two = {int(x[0]): [int(x[1]), int(x[2])] for x in self._pairs(a).T}
+        best, trade = 0, None
+        for total, out in [*((n, [i]) for n, i in own.items()), *two.items()]:
+            offers = [(np.zeros(len(bins), np.int64), bins, None), (self.lengths[pieces], self.where[pieces], pieces[:, None])]
+            if len(out) == 1:
+                offers.append((pairs[0], pairs[3], pairs[1:3].T))
+            for theirs, of, back in offers:
+                found = self._best(a, total, theirs, of)
+                if found and found[0] > best:
+                    best, trade = found[0], (out, int(of[found[1]]), [] if back is None else back[found[1]].tolist())
+        if trade:
+            self._trade(a, *trade)
+        return trade is not None
 
     def run(self, bound: int) -> list[list[int]]:
-        alive, stuck = sum(map(bool, self.bins)), 0
-        order = sorted((b for b, x in enumerate(self.bins) if x), key=lambda b: -self.room[b])
-        for a in order:
-            if alive <= bound or stuck >= EFFORT:
-                break
-            while self.bins[a] and self.step(a):
-                pass
-            if self.bins[a]:
-                stuck += 1
-            else:
-                alive, stuck = alive - 1, 0
+        """Emptiest bins first, until the bound is reached or a whole pass has emptied none."""
+        before = None
+        while (alive := int((self.fill > 0).sum())) != before and alive > bound:
+            before = alive
+            for a in np.argsort(self.fill, kind="stable").tolist():
+                while 0 < self.fill[a] < self.size and self.step(a):
+                    pass
+                if not self.fill[a] and int((self.fill > 0).sum()) <= bound:
+                    break
         return [b for b in self.bins if b]
 
 
