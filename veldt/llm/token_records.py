@@ -6,9 +6,10 @@ number of ids (4), ids. Ids take two bytes where the vocabulary allows. Beside e
 (offset, size) pairs, 16 bytes a record, so that a reader can visit records in any order.
 
 Shards are ranges of doc_id: a lower shard holds lower ids, and records ascend within a shard (null ids first;
-repeated ids by text). A task names its files after its attempt and reports them in the manifest; files of lost
+repeated ids by a hash of the text, which also parts them where ranges are cut). A task names its files after its attempt and reports them in the manifest; files of lost
 attempts are never named, so a retry needs no clean-up. Memory: one Arrow batch, one block of ids and one
-record. A null or empty text is a record that holds only the end id; an empty table gives no shards.
+record. A null or empty text is a record that holds only the end id; rows that are equal in id and text are records
+of their own; other columns are not looked at; an empty table gives no shards.
 """
 
 from __future__ import annotations
@@ -109,7 +110,8 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int, folder: str | No
     spark = docs.sparkSession
     folder = folder or new_path(spark, "records")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange(parts(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    rows = rows.repartitionByRange(parts(spark), *order).sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
