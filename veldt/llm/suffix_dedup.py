@@ -6,7 +6,8 @@ leftmost of its smallest GRAM-byte grams by hash, so equal strings have equal an
 with one anchor overlap and are a context: the bytes they cover. The steps:
 
 1. Contexts are found in one pass, as hashes and places, without text. Contexts that repeat exactly need no
-   sorting: every one but the first goes. A batch settles its own repeats before the shuffle.
+   sorting: every one but the first goes. A batch settles its own repeats before the shuffle. (Two 64-bit hashes, of
+   gram and content, must be equal; bytes are not compared here.)
 2. What remains are distinct contexts that share an anchor's gram with another one. Their bytes are fetched and
    dealt to shards by the gram. A shard's suffix array is built by induced sorting, permuted common prefixes
    follow, and runs of suffixes with a common prefix of WIDTH are equal strings: all but the earliest go.
@@ -15,7 +16,7 @@ with one anchor overlap and are a context: the bytes they cover. The steps:
 Matches never cross documents or contexts. Null doc_id is smaller than all others; rows with one doc_id and
 different texts are documents in the order of a hash of their text; rows equal in both count as one document
 (none removes from the other, both lose the same). Null and empty texts lose nothing. A text cut for the pipeline
-drops what a cut leaves of a split character. An empty table gives no rows.
+drops what a cut leaves of a split character. Other columns are not looked at. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import parts, release, table, written
+from .shared import nested, parts, release, table, written
 from .shingles import mix
 from .suffixes import plcp, suffix_array
 from .tokens import _BASE, _CODE, powers, text_bytes
@@ -37,13 +38,21 @@ WIDTH = 100
 GRAM = 24
 _BLOCK = 1 << 19
 #: Bytes of contexts in one suffix array, unless one gram alone has more.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 256 << 10
+
+
+def bands(width: int = WIDTH, gram: int = GRAM) -> list[tuple[int, int, int]]:
+    """Four bands of distances from a string's start to its gram: number, least, most."""
+    edges = [(width - gram + 1) * k // 4 for k in range(5)]
+    return [(k, edges[k], edges[k + 1] - 1) for k in range(4)]
 
 
 def anchors(raw: np.ndarray, bounds: np.ndarray, width: int = WIDTH, gram: int = GRAM):
-    """Contexts of the texts raw[bounds[i]:bounds[i+1]]: text, first start, last start, gram hash, content hash."""
+    """Contexts of the texts raw[bounds[i]:bounds[i+1]]: text, first start, last start, gram hash, content hash, and
+    for each band of places that the gram can have in a string, a hash (16 bits, 0 for none) of the bytes that all
+    those strings cover."""
     n, span = len(raw), width - gram + 1
-    none = tuple(np.empty(0, d) for d in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    none = tuple(np.empty(0, d) for d in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64))
     if n < width:
         return none
     with np.errstate(over="ignore"):
@@ -74,12 +83,20 @@ def anchors(raw: np.ndarray, bounds: np.ndarray, width: int = WIDTH, gram: int =
         lo, hi, a = starts[first], starts[last], anchor[first]
         content = (total[hi + width] - total[lo]) * down[lo]
         content = mix(content + mix((hi - lo).astype(np.uint64) * np.uint64(1 << 20) + (a - lo).astype(np.uint64)))
+        sides = np.zeros(len(a), np.uint64)
+        for band, least, most in bands(width, gram):
+            # strings that start between `most` and `least` bytes before the gram all cover these bytes
+            p, q = a - least, a + width - most
+            p_, q_ = np.maximum(p, 0), np.minimum(q, n)
+            own = mix((total[q_] - total[p_]) * down[np.minimum(p_, n - 1)]) >> np.uint64(48)
+            there = (a - lo >= least) & (a - hi <= most)
+            sides |= np.where(there, np.maximum(own, np.uint64(1)), np.uint64(0)) << np.uint64(16 * band)
     text = owner[first]
-    return text, lo - bounds[text], hi - bounds[text], grams[a], content
+    return text, lo - bounds[text], hi - bounds[text], grams[a], content, sides
 
 
-PLACE = [("kind", pa.int32()), ("g", pa.int64()), ("c", pa.int64()), ("doc", pa.int64()), ("mark", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())]
-_PLACE = "kind int, g long, c long, doc long, mark int, lo int, hi int"
+PLACE = [("kind", pa.int32()), ("g", pa.int64()), ("c", pa.int64()), ("doc", pa.int64()), ("mark", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("sides", pa.int64())]
+_PLACE = "kind int, g long, c long, doc long, mark long, lo int, hi int, sides long"
 OPEN, GONE = 0, 1
 
 
@@ -99,18 +116,25 @@ def _runs(doc: np.ndarray, mark: np.ndarray, lo: np.ndarray, hi: np.ndarray) ->
     return [doc[first], mark[first], lo[first], np.maximum.reduceat(hi, first)]
 
 
-def _settle(g, c, doc, mark, lo, hi):
+def _settle(g, c, doc, mark, lo, hi, sides):
     """Sorts contexts by (g, c, doc, mark, lo) and tells which are not the first of their content. The same context
     of rows that are one document (same doc, mark and lo) is first for all of them."""
     o = np.lexsort((lo, mark, doc, c, g))
-    g, c, doc, mark, lo, hi = (x[o] for x in (g, c, doc, mark, lo, hi))
+    rows = [x[o] for x in (g, c, doc, mark, lo, hi, sides)]
+    g, c, doc, mark, lo = rows[:5]
     new = np.ones(len(g), bool)
     new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
     same = np.zeros(len(g), bool)
     same[1:] = ~new[1:] & (doc[1:] == doc[:-1]) & (mark[1:] == mark[:-1]) & (lo[1:] == lo[:-1])
     if same.any():
-        g, c, doc, mark, lo, hi, new = (x[~same] for x in (g, c, doc, mark, lo, hi, new))
-    return g, c, doc, mark, lo, hi, new
+        rows, new = [x[~same] for x in rows], new[~same]
+    return *rows, new
+
+
+def _gone_batch(doc: np.ndarray, mark: np.ndarray, lo: np.ndarray, hi: np.ndarray, spread: bool = False) -> pa.RecordBatch:
+    doc, mark, lo, hi = _runs(doc, mark, lo, hi)
+    g = mix(doc.astype(np.uint64) + lo.astype(np.uint64)).view(np.int64) if spread else np.zeros(len(doc))
+    return _batch([np.ones(len(doc)), g, np.zeros(len(doc)), doc, mark, lo, hi, np.zeros(len(doc))])
 
 
 def places(docs: DataFrame) -> DataFrame:
@@ -123,39 +147,64 @@ def places(docs: DataFrame) -> DataFrame:
             found, i, n = [], 0, len(offsets) - 1
             while i < n:
                 j = min(max(int(np.searchsorted(offsets, offsets[i] + _BLOCK, "right")) - 1, i + 1), n)
-                text, lo, hi, g, c = anchors(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                found.append((g.view(np.int64), c.view(np.int64), ids[i + text], marks[i + text], lo, hi))
+                text, lo, hi, g, c, sides = anchors(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                found.append((g.view(np.int64), c.view(np.int64), ids[i + text], marks[i + text], lo, hi, sides.view(np.int64)))
                 i = j
             if not found:
                 continue
-            g, c, doc, mark, lo, hi, new = _settle(*map(np.concatenate, zip(*found, strict=True)))
-            yield _batch([np.zeros(new.sum()), g[new], c[new], doc[new], mark[new], lo[new], hi[new]])
-            doc, mark, lo, hi = _runs(*(x[~new] for x in (doc, mark, lo, hi)))
-            spread = mix(doc.astype(np.uint64) + lo.astype(np.uint64)).view(np.int64)
-            yield _batch([np.ones(len(doc)), spread, np.zeros(len(doc)), doc, mark, lo, hi])
+            *rows, new = _settle(*map(np.concatenate, zip(*found, strict=True)))
+            yield _batch([np.zeros(new.sum()), *(x[new] for x in rows)])
+            yield _gone_batch(*(x[~new] for x in rows[2:6]), spread=True)
 
     return docs.select("doc", "mark", "text").mapInArrow(find, _PLACE)
 
 
+def _shared(g: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """Which contexts have the bytes of a band in common with another context of the gram. Equal strings of WIDTH bytes
+    have their anchor at the same place and so cover the bytes of one band."""
+    out = np.zeros(len(g), bool)
+    for shift in range(0, 64, 16):
+        side = (sides.view(np.uint64) >> np.uint64(shift)) & np.uint64(0xFFFF)
+        with np.errstate(over="ignore"):
+            key = mix(g.view(np.uint64) + mix(side + np.uint64(shift)))
+        _, group, counts = np.unique(key, return_inverse=True, return_counts=True)
+        out |= (side > 0) & (counts[group] > 1)
+    return out
+
+
 def settle(found: DataFrame) -> DataFrame:
-    """Of contexts that meet by gram: exact repeats go; distinct ones with a common gram stay open."""
+    """Of contexts that meet by gram: exact repeats go; distinct ones that can share a string stay open. Rows come in
+    the order of their grams; memory: a batch, and the contexts of one gram (of each batch of documents, one for each
+    content)."""
+
+    def settled(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        *rows, new = _settle(*rows)
+        yield _gone_batch(*(x[~new] for x in rows[2:6]))
+        rows = [x[new] for x in rows]
+        keep = _shared(rows[0], rows[6])
+        yield _batch([np.zeros(keep.sum()), *(x[keep] for x in rows)])
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_ = [tuple(x.to_numpy() for x in b.columns) for b in batches]
-        if not all_:
-            return
-        kind, *rest = map(np.concatenate, zip(*all_, strict=True))
-        gone = _runs(*(x[kind == GONE] for x in rest[2:]))
-        g, c, doc, mark, lo, hi, new = _settle(*(x[kind == OPEN] for x in rest))
-        repeats = _runs(*(x[~new] for x in (doc, mark, lo, hi)))
-        for d, m, a, b in (gone, repeats):
-            yield _batch([np.ones(len(d)), np.zeros(len(d)), np.zeros(len(d)), d, m, a, b])
-        g, c, doc, mark, lo, hi = (x[new] for x in (g, c, doc, mark, lo, hi))
-        _, group, counts = np.unique(g, return_inverse=True, return_counts=True)
-        keep = counts[group] > 1
-        yield _batch([np.zeros(keep.sum()), *(x[keep] for x in (g, c, doc, mark, lo, hi))])
-
-    return found.repartition(parts(found.sparkSession), "g").mapInArrow(one, _PLACE)
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            kind, *rest = (x.to_numpy() for x in batch.columns)
+            if (kind == GONE).any():
+                yield _gone_batch(*(x[kind == GONE] for x in rest[2:6]))
+            rest = [x[kind == OPEN] for x in rest]
+            if not len(rest[0]):
+                continue
+            last = int(np.searchsorted(rest[0], rest[0][-1]))  # where the last gram's rows begin
+            if held and (last or rest[0][0] != held[-1][0][-1]):
+                held.append([x[:last] for x in rest])
+                yield from settled([np.concatenate(x) for x in zip(*held, strict=True)])
+                held = []
+            elif last:
+                yield from settled([x[:last] for x in rest])
+            held.append([x[last:] for x in rest])
+        if held:
+            yield from settled([np.concatenate(x) for x in zip(*held, strict=True)])
+
+    return found.repartition(parts(found.sparkSession), "g").sortWithinPartitions("g").mapInArrow(one, _PLACE)
 
 
 def repeated(contexts: list[bytes], lasts: list[int], width: int = WIDTH) -> list[list[tuple[int, int]]]:
@@ -185,7 +234,7 @@ def repeated(contexts: list[bytes], lasts: list[int], width: int = WIDTH) -> lis
     return out
 
 
-GONE_ROW = "doc long, mark int, lo int, hi int"
+GONE_ROW = "doc long, mark long, lo int, hi int"
 
 
 def compare(open_: DataFrame, docs: DataFrame) -> DataFrame:
@@ -201,7 +250,7 @@ def compare(open_: DataFrame, docs: DataFrame) -> DataFrame:
                 for p in at:
                     for column, v in zip(out, (p["g"], doc, mark, p["lo"], p["hi"], data[p["lo"] : p["hi"] + WIDTH]), strict=True):
                         column.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["g", "doc", "mark", "lo", "hi", "bytes"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +267,7 @@ def compare(open_: DataFrame, docs: DataFrame) -> DataFrame:
         if held:
             yield _gone(held)
 
-    cut = rows.select("doc", "mark", "text", "at").mapInArrow(fetch, "g long, doc long, mark int, lo int, hi int, bytes binary")
+    cut = rows.select("doc", "mark", "text", "at").mapInArrow(fetch, "g long, doc long, mark long, lo int, hi int, bytes binary")
     shards = cut.repartition(parts(docs.sparkSession), "g").sortWithinPartitions("g")
     return shards.mapInArrow(sort, GONE_ROW)
 
@@ -230,7 +279,7 @@ def _gone(held: list[tuple]) -> pa.RecordBatch:
         for a, b in ranges:
             for column, v in zip(out, (doc, mark, lo + a, lo + b), strict=True):
                 column.append(v)
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["doc", "mark", "lo", "hi"])
 
 
@@ -246,28 +295,32 @@ def spans(lo: np.ndarray, hi: np.ndarray, width: int) -> list[tuple[int, int]]:
 
 
 def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """docs(doc_id, text, ...): adds n_bytes, n_removed, n_spans, kept_sha256; with_text replaces text by what is
-    left, otherwise only doc_id stays."""
+    """docs(doc_id, text, ...): doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text also adds the input row as
+    struct `row`, and kept, the text that is left."""
     spark = docs.sparkSession
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumn("text", text).withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")))
-    keyed = keyed.withColumn("mark", F.xxhash64("text").bitwiseAND(0x7FFFFFFF).cast("int"))
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    keyed = nested(docs if with_text else docs.select("doc_id", "text")).withColumn("text", text)
+    # rows that share a doc_id but not a text are told apart by a hash of the text; all others need no mark
+    told = keyed.filter(F.col("row.doc_id").isNotNull()).select(F.col("row.doc_id").alias("_id"), F.xxhash64("text").alias("h"))
+    several = told.groupBy("_id").agg(F.min("h").alias("least"), F.max("h").alias("most")).filter("least <> most").select("_id")
+    keyed = keyed.join(written(several, "repeated-ids"), F.col("row.doc_id") == F.col("_id"), "left")
+    mark = F.when(F.col("row.doc_id").isNull() | F.col("_id").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0)).cast("long")
+    keyed = keyed.withColumn("doc", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))).withColumn("mark", mark).drop("_id")
     met = written(settle(places(keyed)), "contexts")
     release(spark)
     found = met.filter(F.col("kind") == GONE).select("doc", "mark", "lo", "hi")
     found = found.union(written(compare(met.filter(F.col("kind") == OPEN), keyed), "gone"))
     release(spark)
     gone = found.groupBy("doc", "mark").agg(F.collect_list("lo").alias("_lo"), F.collect_list("hi").alias("_hi"))
-    rest = [f.name for f in docs.schema.fields if f.name != "text"] if with_text else ["doc_id"]
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    rows = keyed.join(gone, ["doc", "mark"], "left").select(*[F.col(f"`{c}`") for c in rest], F.col("text").alias("_text"), "_lo", "_hi")
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in rest) + (", text string" if with_text else "") + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    carry = F.col("row") if with_text else F.struct("row.doc_id")
+    rows = keyed.withColumn("row", carry).join(gone, ["doc", "mark"], "left").select("row", "text", "_lo", "_hi")
+    kind = rows.schema["row"].dataType.simpleString()
+    schema = f"row {kind}" + (", kept string" if with_text else "") + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
-            k = len(rest)
-            for text, lo, hi in zip(*(x.to_pylist() for x in batch.columns[k:]), strict=True):
+            for text, lo, hi in zip(*(x.to_pylist() for x in batch.columns[1:]), strict=True):
                 data = text.encode()
                 runs = spans(lo, hi, WIDTH) if lo else []
                 kept, at = [], 0
@@ -275,14 +328,15 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
                     kept.append(data[at:a])
                     at = b
                 left = b"".join([*kept, data[at:]]) if runs else data
-                for column, v in zip(out, (left.decode("utf-8", "ignore"), len(data), len(data) - len(left), len(runs), hashlib.sha256(left).hexdigest()), strict=True):
+                for column, v in zip(out, (left.decode("utf-8", "ignore") if with_text else "", len(data), len(data) - len(left), len(runs), hashlib.sha256(left).hexdigest()), strict=True):
                     column.append(v)
             tail = [pa.array(x, t) for x, t in zip(out, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
-            names = ["text", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            names = ["kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             drop = 0 if with_text else 1
-            yield pa.RecordBatch.from_arrays([*batch.columns[:k], *tail[drop:]], [*rest, *names[drop:]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *tail[drop:]], ["row", *names[drop:]])
 
-    return rows.mapInArrow(cut, schema)
+    out = rows.mapInArrow(cut, schema)
+    return out if with_text else out.select("row.doc_id", *[c for c in out.columns if c != "row"])
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
@@ -290,7 +344,8 @@ def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: repeated strings go from the texts; n_chars follows the text."""
-    columns = docs.columns
-    out = dedup(docs.drop("n_chars"), with_text=True)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
+    """Pipeline stage: repeated strings go from the texts; n_chars follows the text. Columns of any other name pass
+    through; null ids and texts, repeated rows and empty tables as above (a null text becomes an empty one)."""
+    out = dedup(docs, with_text=True)
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return out.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])

@@ -1,21 +1,16 @@
-"""Suffix arrays by induced sorting, and capped permuted common prefixes, in numpy.
+"""Suffix arrays by induced sorting, and capped permuted common prefixes.
 
-Induction scans the array bucket by bucket; all entries of a bucket that are known so far are induced from at once
-(a wave), which keeps the order of a left-to-right scan. The reduced string of leftmost-smaller substrings is
-sorted recursively by the same method while its alphabet is small; a reduced string with many names would need
-one step for each name and is sorted by doubling of ranks instead.
+Suffixes are smaller or larger than the next one; where a smaller one follows a larger one begins a leftmost-smaller
+substring. These are sorted by one induction, get names, and the string of names is sorted by the same method again,
+until all names differ; a second induction then sorts all suffixes. An induction scans the array once from the left
+and once from the right. Over bytes, numpy takes all entries of a bucket that are known so far at once (a wave), which
+keeps the order of a scan; strings of names have about as many buckets as entries, so there the scans go entry by entry.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from .tokens import _BASE, powers
-
-#: Names up to which a reduced string is sorted by induction.
-NAMES = 1024
-
-
 def _types(t: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one."""
     n = len(t)
@@ -78,34 +73,62 @@ def _induce(t: np.ndarray, small: np.ndarray, sorted_lms: np.ndarray) -> np.ndar
     return sa
 
 
-def _doubling(r: np.ndarray) -> np.ndarray:
-    """Suffix array of a string of names; only tied suffixes are sorted again."""
-    n = len(r)
-    sa = np.argsort(r, kind="stable")
-    fresh = np.ones(n, bool)
-    fresh[1:] = r[sa][1:] != r[sa][:-1]
-    # rank: the place of the first suffix of a tied run
-    rank = np.empty(n, np.int64)
-    rank[sa] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    step = 1
-    while not fresh.all():
-        tied = ~fresh
-        tied[:-1] |= ~fresh[1:]
-        at = np.flatnonzero(tied)
-        p = sa[at]
-        nxt = np.where(p + step < n, rank[np.minimum(p + step, n - 1)], -1)
-        o = np.lexsort((nxt, rank[p]))
-        p, nxt = p[o], nxt[o]
-        sa[at] = p
-        own = rank[p]
-        new = np.ones(len(p), bool)
-        new[1:] = (own[1:] != own[:-1]) | (nxt[1:] != nxt[:-1])
-        fresh[at] = new
-        rank[p] = np.maximum.accumulate(np.where(new, at, 0))
-        step *= 2
+def _scan(t: list[int], small: list[bool], lms: list[int], ends: list[int]) -> list[int]:
+    """The induction entry by entry; lms in their order, ends: of the buckets."""
+    n = len(t)
+    sa = [-1] * n
+    tails = ends[:]
+    for p in reversed(lms):
+        c = t[p]
+        tails[c] -= 1
+        sa[tails[c]] = p
+    heads = [0, *ends[:-1]]
+    c = t[n - 1]  # the end of the string is smaller than anything
+    sa[heads[c]] = n - 1
+    heads[c] += 1
+    for i in range(n):
+        p = sa[i] - 1
+        if p >= 0 and not small[p]:
+            c = t[p]
+            sa[heads[c]] = p
+            heads[c] += 1
+    tails = ends[:]
+    for i in range(n - 1, -1, -1):
+        p = sa[i] - 1
+        if p >= 0 and small[p]:
+            c = t[p]
+            tails[c] -= 1
+            sa[tails[c]] = p
     return sa
 
 
+def of_names(t: list[int], names: int) -> list[int]:
+    """Suffix array of a string of the names 0..names - 1."""
+    n = len(t)
+    small = [False] * n
+    for i in range(n - 2, -1, -1):
+        small[i] = t[i] < t[i + 1] or (t[i] == t[i + 1] and small[i + 1])
+    lms = [i for i in range(1, n) if small[i] and not small[i - 1]]
+    ends = np.cumsum(np.bincount(t, minlength=names)).tolist()
+    guess = _scan(t, small, lms, ends)
+    if len(lms) < 2:
+        return guess
+    stop = dict(zip(lms, [*lms[1:], n], strict=True))  # the last one has no equal: it runs into the end
+    name, last, upto, number = {}, -1, -1, -1
+    for p in guess:
+        if p not in stop:
+            continue
+        own = stop[p]
+        if last < 0 or own == n or upto == n or own - p != upto - last or t[p : own + 1] != t[last : upto + 1]:
+            number += 1
+        name[p] = number
+        last, upto = p, own
+    if number + 1 == len(lms):
+        return _scan(t, small, list(name), ends)
+    order = of_names([name[p] for p in lms], number + 1)
+    return _scan(t, small, [lms[i] for i in order], ends)
+
+
 def suffix_array(t: np.ndarray) -> np.ndarray:
     """t: non-negative integers. The end of the string counts as smaller than anything."""
     t = np.asarray(t)
@@ -121,24 +144,25 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     by_substring = guess[is_lms[guess]]
-    # equal substrings (with their types) get one name
+    # equal substrings get one name; that their first and last bytes are equal settles their types
     place = np.searchsorted(lms, by_substring)
     stop = np.append(lms[1:] + 1, n)[place]
-    with np.errstate(over="ignore"):
-        total = np.empty(n + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(((t << 1) + small + 1).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) * powers(_BASE, n), out=total[1:])
-        value = (total[stop] - total[by_substring]) * powers(pow(_BASE, -1, 1 << 64), n)[by_substring]
-    length = stop - by_substring + (place == len(lms) - 1)
+    length = stop - by_substring
     differ = np.ones(len(lms), bool)
-    differ[1:] = (value[1:] != value[:-1]) | (length[1:] != length[:-1])
+    differ[1:] = (length[1:] != length[:-1]) | (place[1:] == len(lms) - 1) | (place[:-1] == len(lms) - 1)
+    pair = np.flatnonzero(~differ)
+    size = length[pair]
+    upto = np.cumsum(size)
+    if len(pair):
+        inside = np.arange(upto[-1]) - np.repeat(upto - size, size)
+        unlike = t[np.repeat(by_substring[pair], size) + inside] != t[np.repeat(by_substring[pair - 1], size) + inside]
+        differ[pair] = np.logical_or.reduceat(unlike, upto - size)
     names = np.cumsum(differ) - 1
     if names[-1] + 1 == len(lms):
         return _induce(t, small, by_substring)
     reduced = np.empty(len(lms), np.int64)
     reduced[place] = names
-    order = suffix_array(reduced) if names[-1] < NAMES else _doubling(reduced)
-    return _induce(t, small, lms[order])
+    return _induce(t, small, lms[np.array(of_names(reduced.tolist(), int(names[-1]) + 1))])
 
 
 def plcp(raw: np.ndarray, sa: np.ndarray, cap: int, wanted: np.ndarray | None = None) -> np.ndarray:
