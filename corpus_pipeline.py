@@ -14,7 +14,9 @@ from veldt.llm.tokens import tokenizer_path
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the mixed documents in sequences of 2048 tokens."""
+    """The pieces of the mixed documents in sequences of 2048 tokens. A null text is one piece, the end id; repeated rows
+    (the mix takes a document up to twice) are packed each for itself; other columns are not looked at; an empty table
+    gives no rows."""
     return packing.pack(packing.pieces(docs, tokenizer_path(), 0, 2048), 2048)
 
 
@@ -26,7 +28,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: A fitted classifier and shared packing are beyond SQL; the tests hold stages against brute force.
+#: A fitted classifier and shared packing are beyond SQL; tests/llm/test_stages.py holds every stage against brute force.
 ORACLE_SQL = None
 
 

@@ -11,10 +11,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from veldt.llm import ann, chat, exact_topk, jaccard, mixing, packing, quality, suffix_dedup, token_records, toxicity
-from veldt.llm.suffixes import plcp, suffix_array
+from veldt.llm import chat, jaccard, mixing, packing, quality, suffix_dedup, token_records, toxicity
+from veldt.llm.suffixes import of_names, plcp, suffix_array
 from veldt.llm.tokens import Encoder, tokenizer_path
-from veldt.llm.vectors import indexed, search
 
 ODD = [(1, None), (2, ""), (3, "  \n "), (4, "It's <|endoftext|> 12% ÀÉß×÷ é  x"), (5, "Hello, hello WORLD"), (5, "Hello, hello WORLD"), (None, "no id"), (7, "x" * 50_000)]
 DOCS = "doc_id long, text string"
@@ -129,6 +128,7 @@ def test_suffix_array_and_plcp():
         t = rng.integers(0, int(rng.choice([1, 2, 3, 30])), int(rng.integers(1, 120)))
         sa = suffix_array(t)
         assert sa.tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+        assert of_names(t.tolist(), int(t.max()) + 1) == sa.tolist()
         raw = t.astype(np.uint8)
         common = plcp(raw, sa, 20)
         for a, b in zip(sa, sa[1:]):
@@ -178,27 +178,6 @@ def test_mixing_meets_targets(spark):
         assert abs(taken[s["source"]] - s["target"]) <= 20
 
 
-@pytest.mark.parametrize("which", ["graph", "tree"])
-def test_vector_search(spark, which):
-    rng = np.random.default_rng(2)
-    x = rng.normal(size=(300, 8))
-    x[200:] = x[0]
-    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(np.round(x * 50))], "vec_id long, v array<double>")
-    q = rows.filter("vec_id % 50 = 0").selectExpr("vec_id as query_id", "v as q")
-    build, find, kind = (ann.build, ann.finder(5), "double") if which == "graph" else (exact_topk.cover_tree, exact_topk.finder(5), "long")
-    got = search(q, indexed(rows, 6, build, shard=64), find, 5, kind).collect()
-    v = np.round(x * 50)
-    hits = 0
-    for a in range(0, 300, 50):
-        s = v @ v[a] if which == "tree" else v @ v[a] / np.linalg.norm(v, axis=1)
-        s[a] = -np.inf
-        want = np.lexsort((np.arange(300), -np.round(s, 9)))[:5].tolist()
-        mine = [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == a]
-        hits += len(set(want) & set(mine))
-        assert which == "graph" or mine == want
-    assert hits >= 27
-
-
 def test_chat_round_trip(spark):
     told = [(1, 0, "system", "s[x]|\\("), (1, 1, "user", "</s>[INST] ok [/INST]"), (1, 2, "assistant", "a\\\\[/]b"), (1, 3, "user", None), (1, 4, "assistant", "word " * 40), (2, 0, None, "")]
     rows = spark.createDataFrame(told, "conv_id long, turn long, role string, text string")
@@ -223,7 +202,7 @@ def test_quality_shrinks_and_survives_odd_rows(spark):
     frame = spark.createDataFrame(docs, DOCS + ", host string, path string")
     labels = spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(0, 200)], "doc_id long, quality int")
     scored = frame.select("doc_id", "host", "path", quality.evidence(quality.train(frame, labels))("text").alias("p"))
-    rows = {r.doc_id: r for r in quality.combine(scored, quality.posteriors(scored)).collect()}
+    rows = {r.doc_id: r for r in quality.combine(scored, *quality.posteriors(scored)).collect()}
     assert len(rows) == 201 and all((rows[i].quality >= 0.5) == (i % 4 != 0) for i in range(1, 200))
 
 

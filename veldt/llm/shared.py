@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import uuid
 
@@ -24,10 +25,25 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
+def clear() -> None:
+    """Removes all written tables of this process; results that read them must have been stored by then. Also runs when
+    the driver's Python ends."""
+    while _made:
+        spark, path = _made.pop()
+        if spark.sparkContext._jsc is not None:
+            discard(spark, path)
+
+
 def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Cuts lineage: writes df as Parquet into the shared folder and reads it again; the path, for discard."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    if not _made:
+        atexit.register(clear)
+    _made.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
