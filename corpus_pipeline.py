@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from veldt.llm import jaccard, mixing, packing, quality, suffix_dedup
-from veldt.llm.shared import table, written
+from veldt.llm.shared import stages, table, written
 from veldt.llm.tokens import tokenizer_path
 
 
@@ -20,13 +20,15 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(docs, tokenizer_path(), 0, 2048), 2048)
 
 
-STAGES = [
-    ("quality", quality.stage),
-    ("near_duplicates", jaccard.stage),
-    ("repeated_strings", suffix_dedup.stage),
-    ("mixing", mixing.stage),
-    ("packing", pack),
-]
+STAGES = stages(
+    [
+        ("quality", quality.stage),
+        ("near_duplicates", jaccard.stage),
+        ("repeated_strings", suffix_dedup.stage),
+        ("mixing", mixing.stage),
+        ("packing", pack),
+    ]
+)
 
 #: A fitted classifier and shared packing are beyond SQL; tests/llm/test_stages.py holds every stage against brute force.
 ORACLE_SQL = None
@@ -35,5 +37,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        found = stage(spark, docs, sf_dir)
+        docs = written(found, name)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -26,6 +26,8 @@ from .tokens import _BASE, _CODE, powers, text_bytes
 #: At most about so many labelled rows fit the classifier; chosen by a hash of doc_id.
 FIT_ROWS = 20_000
 KEEP = 0.5
+#: Up to so many paths their sums are sent to every task; more are joined by a shuffle.
+BROADCAST = 10_000
 MEASURES = ("upper", "signs", "bars", "digits", "high", "spaces", "word_length", "distinct", "stutter", "lines", "marks", "size", "short")
 _BLOCK = 1 << 19
 
@@ -183,7 +185,8 @@ def posteriors(scored: DataFrame) -> tuple[DataFrame, dict[str, float]]:
         total["path"] = strength(within, (one.pp - one.hh - (one.k - one.h) * within) / max(1e-9, one.n - one.pn2))
     hosts = hosts.select(F.col("host").alias("_host"), "hs", "hn")
     rates = paths.join(hosts, F.col("host").eqNullSafe(F.col("_host")))
-    return rates.select("_host", F.col("path").alias("_path"), "s", "n", "hs", "hn"), total
+    rates = rates.select("_host", F.col("path").alias("_path"), "s", "n", "hs", "hn")
+    return (F.broadcast(rates) if (one.k or 0) <= BROADCAST else rates), total
 
 
 def combine(scored: DataFrame, rates: DataFrame, total: dict[str, float]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,15 +29,38 @@ def new_path(spark: SparkSession, name: str) -> str:
 _made: list[tuple[SparkSession, str]] = []
 
 
-def clear() -> None:
-    """Removes all written tables of this process; results that read them must have been stored by then. Also runs when
-    the driver's Python ends."""
-    while _made:
+def clear(since: int = 0) -> None:
+    """Removes the written tables of this process from the since-th on; results that read them must have been stored by
+    then. Also runs when the driver's Python ends."""
+    while len(_made) > since:
         spark, path = _made.pop()
         if spark.sparkContext._jsc is not None:
             discard(spark, path)
 
 
+def stages(functions: list[tuple[str, Callable]]) -> list[tuple[str, Callable]]:
+    """Stages that are called in turn, each after its predecessor's result has been stored: a stage first removes the
+    tables that the one before it wrote."""
+    last: list[tuple[SparkSession, str]] = []
+
+    def clean(function: Callable) -> Callable:
+        def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            for session, path in last:
+                if (session, path) in _made:
+                    _made.remove((session, path))
+                    discard(session, path)
+            last.clear()
+            release(spark)
+            since = len(_made)
+            out = function(spark, docs, sf_dir)
+            last.extend(_made[since:])
+            return out
+
+        return run
+
+    return [(name, clean(f)) for name, f in functions]
+
+
 def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Cuts lineage: writes df as Parquet into the shared folder and reads it again; the path, for discard."""
     spark = df.sparkSession
