@@ -2,14 +2,14 @@
 
 1 - Jaccard is a metric on sets, and two documents link when it is at most eps = 1 - t. For sets without a common
 shingle it is 1 whatever the sets, so a document only has to meet pivots that it can be near to at all. Which these
-are, prefixes say: shingles have one global order, rare ones first, and the first |x| - ceil(t |x|) + COMMON shingles
-of two linked documents have COMMON of them in common (or all that the documents share, if those are fewer). The
-pivot of a shingle is the document with the smallest digest among those that have it in their prefix; a document lies
-in the regions of its shingles' pivots. Linked documents thus share pivots, and rows grow with the prefixes, not with
-pairs. A document is noisy in a region that it owes to a single shingle. Where such shingles are too few to hold all
-that a document shares with a linked one (fewer than half of COMMON), it leaves these regions: at least one common
-shingle remains that neither end gave up. (The order comes from a sketch of fixed size that counts shingles by hash;
-any order is exact, this one keeps frequent passages from making regions.)
+are, prefixes say: shingles have one global order, rare ones first, and the first |x| - ceil(t |x|) + spare(|x|)
+shingles of two linked documents have spare(t |x|) of them in common (or all that the documents share, if those are
+fewer). The pivot of a shingle is the document with the smallest digest among those that have it in their prefix; a
+document lies in the regions of its shingles' pivots. Linked documents thus share pivots, and rows grow with the
+prefixes, not with pairs. Most regions of a document are owed to one or two shingles met by chance. A document leaves
+those it owes to the fewest, as long as it gives up fewer than half of spare(t |x|) shingles in all: at least one
+common shingle remains that neither end of a link gave up. (The order comes from a sketch of fixed size that counts
+shingles by hash; any order is exact, this one keeps frequent passages from making regions.)
 
 Each region is joined recursively: documents are taken as pivots, each other document goes to the cell of its nearest
 pivot and to every cell whose pivot is no more than 2 eps further away, which by the triangle inequality brings both
@@ -47,8 +47,8 @@ PIVOTS = 12
 DEPTH = 3
 #: Cells of up to so many documents are compared in full.
 SMALL = 24
-#: Prefix shingles that linked sets have in common at least, or all they share.
-COMMON = 9
+#: spare(n) = COMMON + n // SHARE.
+COMMON, SHARE = 9, 20
 SKETCH = 1 << 20
 _CHUNK = 1 << 14
 _COLUMNS = 4096
@@ -97,8 +97,8 @@ def _digest(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _needed(n: np.ndarray, t: int) -> np.ndarray:
-    """Places of the order that a set of n shingles takes: n - ceil(t n / 100) + COMMON, at most all n."""
-    return np.where(n > 0, np.minimum(n, n + (-t * n // 100) + COMMON), 0)
+    """Places of the order that a set of n shingles takes: n - ceil(t n / 100) + spare(n), at most all n."""
+    return np.where(n > 0, np.minimum(n, n + (-t * n // 100) + COMMON + n // SHARE), 0)
 
 
 SIGNATURE = "doc_id long, n long, d1 long, d2 long, chars long, first array<long>"
@@ -133,9 +133,10 @@ def signatures(docs: DataFrame, width: int, t: int, levels: np.ndarray) -> DataF
 
 
 def pivots_of(known: DataFrame, t: int) -> DataFrame:
-    """known(first, n, d1): x, p (digests) and c: a document lies in the region of pivot p for c shingles of its prefix.
-    Rows of a document's own region are left out, and single shingles where they cannot hide a link."""
-    shared = F.least(F.lit(COMMON), F.ceil(F.col("n") * t / 100)).cast("int")
+    """known(first, n, d1): x, p (digests): a document lies in the region of pivot p. Rows of a document's own region are
+    left out, and regions that it owes to few shingles where that cannot hide a link."""
+    least = F.ceil(F.col("n") * t / 100)
+    shared = F.least(COMMON + F.floor(least / SHARE), least).cast("int")
     rows = known.select("d1", shared.alias("k"), F.explode("first").alias("shingle"))
     dealt = rows.repartition(parts(known.sparkSession), "shingle").sortWithinPartitions("shingle", "d1")
 
@@ -163,9 +164,8 @@ def pivots_of(known: DataFrame, t: int) -> DataFrame:
 
     found = dealt.mapInArrow(lead, "x long, p long, k int, c long")
     counted = found.repartition(parts(known.sparkSession), "x").groupBy("x", "p").agg(F.max("k").alias("k"), F.sum("c").alias("c"))
-    single = F.sum((F.col("c") == 1).cast("int")).over(Window.partitionBy("x"))
-    kept = counted.withColumn("_single", single).filter((F.col("c") > 1) | (2 * F.col("_single") > F.col("k") - 1))
-    return kept.select("x", "p")
+    fewest = Window.partitionBy("x").orderBy("c", "p").rowsBetween(Window.unboundedPreceding, 0)
+    return counted.withColumn("_given", F.sum("c").over(fewest)).filter(2 * F.col("_given") > F.col("k") - 1).select("x", "p")
 
 
 class Sets:
