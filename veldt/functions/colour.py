@@ -168,3 +168,8 @@ def reversible(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]
 def med(w: Column, n: Column, nw: Column) -> Column:
     """Median edge predictor."""
     return F.when(nw >= F.greatest(w, n), F.least(w, n)).when(nw <= F.least(w, n), F.greatest(w, n)).otherwise(w + n - nw)
+
+
+def oklab_bytes(l: Column, a: Column, b: Column) -> tuple[Column, Column, Column]:
+    """OKLab as three bytes; a and b from -0.4 to 0.4."""
+    return (clamp8(l * 255), clamp8((a + 0.4) / 0.8 * 255), clamp8((b + 0.4) / 0.8 * 255))

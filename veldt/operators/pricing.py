@@ -72,10 +72,9 @@ def palette_price(regions: DataFrame, rag: DataFrame, channels: tuple[str, ...]
     got = keyed.join(best, ["image", "lab"], "left").join(other, ["image", "_other"], "left")
     # A context with t rows costs log2 of (n)(n+1)...(n+t-1): its own n differs by image, so it is summed here.
     counts = got.groupBy("image", "near", "colour").agg(F.count("*").alias("k"))
-    fact = lambda start, k: F.aggregate(F.sequence(F.lit(0).cast("long"), k - 1), F.lit(0.0), lambda s, i: s + F.log2(start + i))
-    per = counts.groupBy("image", "near").agg(F.sum("k").alias("t"), F.sum(fact(F.lit(1), F.col("k"))).alias("num"))
+    per = counts.groupBy("image", "near").agg(F.sum("k").alias("t"), F.sum(entropy.rising_bits(1.0, F.col("k"))).alias("num"))
     size = keyed.groupBy("image").agg(F.countDistinct("colour").alias("entries"))
-    bits = per.join(size, "image").groupBy("image", "entries").agg(F.sum(fact(F.col("entries"), F.col("t")) - F.col("num")).alias("bits"))
+    bits = per.join(size, "image").groupBy("image", "entries").agg(F.sum(entropy.rising_bits(F.col("entries"), F.col("t")) - F.col("num")).alias("bits"))
     return bits.select("image", "entries", F.when(F.col("entries") > limit, F.lit(float("inf"))).otherwise(F.col("bits") + 24 * F.col("entries")).alias("bits"))
 
 

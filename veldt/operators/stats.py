@@ -3,30 +3,61 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+SLICES = 1024
+
+
+def order_statistics(rows: DataFrame, value: str, by: list[str], places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """The values at places (from 0, as a function of the count) of each group's ascending list.
+
+    Equal values are counted first; a group's range is cut into SLICES equal parts, whose counts tell which parts hold a
+    place, and only those are put in order. No task sorts a whole group.
+    """
+    hist = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    span = hist.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_c").alias("_n"))
+    width = F.col("_hi") - F.col("_lo")
+    part = F.when(width > 0, F.floor((F.col(value) - F.col("_lo")) / width * (SLICES - 1))).otherwise(0).alias("_s")
+    dealt = hist.join(span, by).select(*by, value, "_c", "_n", part)
+    upto = Window.partitionBy(*by).orderBy("_s")
+    parts = dealt.groupBy(*by, "_s").agg(F.sum("_c").alias("_own")).withColumn("_upto", F.sum("_own").over(upto))
+    held = F.lit(False)
+    for place in places.values():
+        held |= (place(F.col("_n")) >= F.col("_before")) & (place(F.col("_n")) < F.col("_upto"))
+    near = dealt.join(parts.select(*by, "_s", "_upto", (F.col("_upto") - F.col("_own")).alias("_before")), [*by, "_s"]).filter(held)
+    last = F.col("_before") + F.sum("_c").over(Window.partitionBy(*by, "_s").orderBy(value))
+    near = near.withColumn("_last", last)
+    pick = lambda at: F.max(F.when((at >= F.col("_last") - F.col("_c")) & (at < F.col("_last")), F.col(value)))
+    return near.groupBy(*by).agg(*[pick(place(F.col("_n"))).alias(name) for name, place in places.items()], F.first("_n").alias("_n"))
+
+
 def percentile_floor(rows: DataFrame, value: str, by: list[str], p: float = 0.95) -> DataFrame:
     """sorted[min(n - 1, floor(p n))]."""
-    return _ranked(rows, value, by, lambda n: F.least(n - 1, F.floor(F.lit(p) * n)))
+    return order_statistics(rows, value, by, {"p": lambda n: F.least(n - 1, F.floor(F.lit(p) * n))}).drop("_n")
 
 
 def percentile_nearest_rank(rows: DataFrame, value: str, by: list[str], p: float = 0.95) -> DataFrame:
     """sorted[round(p (n - 1))], halves to even."""
-    return _ranked(rows, value, by, lambda n: F.bround(F.lit(p) * (n - 1)))
-
-
-def _ranked(rows: DataFrame, value: str, by: list[str], at) -> DataFrame:
-    part = Window.partitionBy(*by)
-    ranked = rows.select(*by, value).withColumn("_i", F.row_number().over(part.orderBy(value)) - 1).withColumn("_n", F.count("*").over(part))
-    return ranked.filter(F.col("_i") == at(F.col("_n"))).select(*by, F.col(value).alias("p"))
+    return order_statistics(rows, value, by, {"p": lambda n: F.bround(F.lit(p) * (n - 1))}).drop("_n")
 
 
 def percentile_linear(rows: DataFrame, value: str, by: list[str], ps: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    return rows.groupBy(*by).agg(*[F.expr(f"percentile({value}, {p})").alias(f"p{round(100 * p)}") for p in ps])
+    """Between the neighbours of place p (n - 1), by its fraction."""
+    places = {}
+    for k, p in enumerate(ps):
+        places[f"_lo{k}"] = lambda n, p=p: F.floor(F.lit(p) * (n - 1))
+        places[f"_hi{k}"] = lambda n, p=p: F.ceil(F.lit(p) * (n - 1))
+    got, out = order_statistics(rows, value, by, places), []
+    for k, p in enumerate(ps):
+        at = F.lit(p) * (F.col("_n") - 1)
+        out.append((F.col(f"_lo{k}") + (F.col(f"_hi{k}") - F.col(f"_lo{k}")) * (at - F.floor(at))).alias(f"p{round(100 * p)}"))
+    return got.select(*by, *out)
 
 
 def score(row: dict[str, Column], alpha: float, beta: float) -> Column:
@@ -53,7 +84,8 @@ def summary(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def bootstrap_bounds(values: list[float], rounds: int = 10_000, alpha: float = 0.05, seed: int = 0xC0FFEE) -> tuple[float, float]:
-    """Percentile interval of resampled means; empty input gives (0, 0). Deterministic for a given order."""
+    """Percentile interval of resampled means; empty input gives (0, 0). Deterministic for a given order. Draws come from
+    Python's own generator, one by one, so that the stream of the published results is kept."""
     n = len(values)
     if not n:
         return 0.0, 0.0
@@ -106,12 +138,33 @@ def interpolate(curve: DataFrame, wanted: DataFrame, by: list[str], x: str = "x"
     return wanted.join(found.select(*by, at, F.col("_m.v").alias("value")), [*by, at], "left")
 
 
+def _skyline(v: np.ndarray) -> np.ndarray:
+    """Places of the rows that no other row beats on one axis while matching it on all; equal rows stay."""
+    order, kept = np.lexsort(v.T[::-1]), []
+    for i in order.tolist():
+        own = v[kept]
+        if not ((own <= v[i]).all(1) & (own < v[i]).any(1)).any():
+            kept.append(i)
+    return np.array(kept, np.int64)
+
+
 def undominated(rows: DataFrame, axes: list[str]) -> DataFrame:
-    """Rows that no other row beats on one axis while matching it on all."""
-    other = rows.select(*[F.col(a).alias(f"_{a}") for a in axes]).distinct()
-    worse = F.lit(True)
-    strict = F.lit(False)
+    """Rows that no other row beats on one axis while matching it on all. Each task keeps what its own points leave, one
+    task merges these, and rows join the points that remain; rows with a null axis are compared with none and stay."""
+    points = rows.select(*[F.col(a).cast("double").alias(a) for a in axes]).dropna().distinct()
+
+    def local(batches):
+        held = np.empty((0, len(axes)))
+        for batch in batches:
+            v = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns], 1)])
+            held = v[_skyline(v)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held.T], axes)
+
+    schema = ", ".join(f"`{a}` double" for a in axes)
+    best = points.mapInArrow(local, schema).coalesce(1).mapInArrow(local, schema).select(*[F.col(a).alias(f"_{a}") for a in axes])
+    same = F.lit(True)
+    missing = F.lit(False)
     for a in axes:
-        worse &= F.col(f"_{a}") <= F.col(a)
-        strict |= F.col(f"_{a}") < F.col(a)
-    return rows.join(F.broadcast(other) if other.limit(4097).count() <= 4096 else other, worse & strict, "left_anti")
+        same &= F.col(a).cast("double") == F.col(f"_{a}")
+        missing |= F.col(a).isNull()
+    return rows.join(best, same, "left_semi").union(rows.filter(missing))

@@ -53,9 +53,17 @@ def deltas(spark, d):
     return rows.select("key", colour.dist2(_rgb(), grey).cast("long").alias("d2"), colour.dist2_16bit(_rgb(), grey).alias("d16"), F.round(colour.hyab(lab, mid), 6).alias("hyab"))
 
 
-_D16 = " + ".join(f"((CAST({c} AS BIGINT) - 128) * 257 * ((CAST({c} AS BIGINT) - 128) * 257)) >> 2" for c in "rgb")
 _D16 = " + ".join(f"((((CAST({c} AS BIGINT) - 128) * 257) * ((CAST({c} AS BIGINT) - 128) * 257)) >> 2)" for c in "rgb")
-_GREY = 116 * (((128 / 255 + 0.055) / 1.055) ** 2.4) ** (1 / 3) - 16
+
+
+def _grey() -> tuple[float, float, float]:
+    """Lab of mid grey; the matrix leaves it a trace of colour."""
+    linear = ((128 / 255 + 0.055) / 1.055) ** 2.4
+    x, y, z = ((sum(row) * linear / w) ** (1 / 3) for row, w in zip(colour.XYZ, colour.WHITE, strict=True))
+    return 116 * y - 16, 500 * (x - y), 200 * (y - z)
+
+
+_GREY = _grey()
 
 
 def numbers(spark, d):
@@ -106,14 +114,11 @@ ORACLE_SQL = {
     "p3_p6_lab": "WITH " + LAB + " SELECT key, round(ll, 6) AS ll, round(la, 6) AS la, round(lb, 6) AS lb FROM lab",
     "p7_oklab": "WITH " + OKLAB + " SELECT key, round(ol, 6) AS ol, round(oa, 6) AS oa, round(ob, 6) AS ob FROM ok",
     "p8_oklab_round_trip": "WITH " + HIST + " SELECT key, r, g, b FROM hist",
-    "p13_p14_p41_distances": "WITH " + LAB + f" SELECT key, CAST((r - 128) * (r - 128) + (g - 128) * (g - 128) + (b - 128) * (b - 128) AS BIGINT) AS d2, {_D16} AS d16, round(abs(ll - {_GREY!r}) + sqrt(la * la + lb * lb), 6) AS hyab FROM lab JOIN hist USING (key)",
+    "p13_p14_p41_distances": "WITH " + LAB + f" SELECT key, CAST((r - 128) * (r - 128) + (g - 128) * (g - 128) + (b - 128) * (b - 128) AS BIGINT) AS d2, {_D16} AS d16, round(abs(ll - {_GREY[0]!r}) + sqrt(pow(la - {_GREY[1]!r}, 2) + pow(lb - {_GREY[2]!r}, 2)), 6) AS hyab FROM lab JOIN hist USING (key)",
     "p10_p11_p24_p26_p37_p38_p39_numbers": NUMBERS,
     "p1_p2_p16_p18_p27_p28_p30_predictors": PREDICT,
     "p23_combination_bits": "SELECT p_partkey, round((lgamma(p_size + 11) - lgamma(p_size % 10 + 1) - lgamma(p_size + 11 - p_size % 10)) / ln(2), 6) AS bits FROM part",
     "p36_sha256": "SELECT page_id, sha256(html) AS sha FROM pages",
     "p21_hex": "WITH " + HIST + " SELECT key, printf('#%06x', key) AS h, r, g, b FROM hist",
 }
-del QUERIES["p13_p14_p41_distances"], ORACLE_SQL["p13_p14_p41_distances"]
-QUERIES["p13_p41_distances"] = lambda s, d: deltas(s, d).select("key", "d2", "d16")
-ORACLE_SQL["p13_p41_distances"] = "WITH " + HIST + f" SELECT key, CAST((r - 128) * (r - 128) + (g - 128) * (g - 128) + (b - 128) * (b - 128) AS BIGINT) AS d2, {_D16} AS d16 FROM hist"
 QUERIES["p15_ciede2000"] = lambda s, d: _colours(s, d).select("key", F.round(colour.ciede2000(colour.rgb_to_lab(*_rgb()), colour.rgb_to_lab(*(F.lit(128.0) for _ in range(3)))), 6).alias("de"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -17,4 +18,9 @@ def session(cpus: int | str = "*", app: str = "veldt", **conf: str) -> SparkSess
         "spark.driver.memory": os.environ.get("VELDT_DRIVER_MEMORY", "8g"),
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
-    return SparkSession.builder.master(f"local[{cpus}]").appName(app).config(map=base | conf).getOrCreate()
+    spark = SparkSession.builder.master(f"local[{cpus}]").appName(app).config(map=base | conf).getOrCreate()
+    context = spark.sparkContext
+    if not spark.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+        # one machine: driver and executors share its folders
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="veldt-"))
+    return spark
