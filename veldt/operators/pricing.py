@@ -163,3 +163,84 @@ def decoded_blocks(blocks: DataFrame) -> DataFrame:
         return pd.Series([np.asarray(range_decode(b, c), np.int32) for b, c in zip(blob, n)])
 
     return blocks.withColumn("bits", decode("blob", "n")).drop("blob")
+
+
+def reference_price(regions: DataFrame, cells: DataFrame, channels: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
+    """Bits of region colours against the rounded mean of a reference image over the same cells, cells(image, lab, channels)."""
+    mean = cells.groupBy("image", "lab").agg(*[F.round(F.avg(c)).alias(f"p_{c}") for c in channels])
+    return entropy.adaptive_bits(_residuals(regions.join(mean, ["image", "lab"]), channels), ["image"], ["channel"], "d", 512).select("image", "bits")
+
+
+def first_cell_entropy(px: DataFrame, channels: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
+    """Empirical entropy of region means less those of the region to the left of the first cell, or above it, or 128.
+    One histogram an image for all channels."""
+    means = px.groupBy("image", "lab").agg(*[F.avg(c).alias(c) for c in channels])
+    near = F.coalesce(F.lag("lab").over(raster.row()), F.lag("lab").over(raster.column()))
+    first = px.withColumn("_near", near).groupBy("image", "lab").agg(F.min(F.struct("y", "x", F.col("_near").alias("near"))).alias("_f")).select("image", "lab", F.col("_f.near").alias("near"))
+    other = means.select("image", F.col("lab").alias("near"), *[F.col(c).alias(f"p_{c}") for c in channels])
+    rows = means.join(first, ["image", "lab"]).join(other, ["image", "near"], "left").fillna(128.0, [f"p_{c}" for c in channels])
+    rows = rows.select("image", F.explode(F.array(*[F.round(F.col(c) - F.col(f"p_{c}")).cast("int") for c in channels])).alias("d"))
+    return entropy.static_bits(rows, ["image"], [], "d")
+
+
+def earlier_means(regions: DataFrame, rag: DataFrame, channels: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
+    """Adds m_<channel>, the boundary-weighted mean of earlier neighbours, 128 without any."""
+    other = regions.select("image", F.col("lab").alias("_b"), *[F.col(c).alias(f"o_{c}") for c in channels])
+    mean = rag.filter("b < a").select("image", F.col("a").alias("lab"), F.col("b").alias("_b"), "len").join(other, ["image", "_b"]).groupBy("image", "lab")
+    mean = mean.agg(*[(F.sum(F.col("len") * F.col(f"o_{c}")) / F.sum("len")).alias(f"m_{c}") for c in channels])
+    return regions.join(mean, ["image", "lab"], "left").fillna(128.0, [f"m_{c}" for c in channels])
+
+
+def pinned_gain(means: DataFrame) -> DataFrame:
+    """Least squares of a in c = m_c + step (1 + a (m_c / m_g - 1)) for red and blue, the step being green's residual;
+    as 32-bit floats, 0 where nothing is to be fitted."""
+    step = F.col("g") - F.col("m_g")
+    out = []
+    for c in ("r", "b"):
+        x = F.when(F.col("m_g") >= 1, step * (F.col(f"m_{c}") / F.col("m_g") - 1)).otherwise(0.0)
+        y = F.col(c) - F.col(f"m_{c}")
+        fit = (F.sum(y * x) - F.sum(step * x)) / F.sum(x * x)
+        out.append(F.when(F.sum(x * x) > 0, fit).otherwise(0.0).cast("float").alias(f"a_{c}"))
+    return means.groupBy("image").agg(*out)
+
+
+def previous_residual(means: DataFrame, rag: DataFrame, channel: str = "g") -> DataFrame:
+    """image, lab, d, before: a region's rounded residual, and the size of that of the best earlier neighbour, else of the
+    region before it, else 0."""
+    rows = means.select("image", "lab", (F.col(channel) - F.round(f"m_{channel}")).cast("int").alias("d"))
+    best = raster.best_earlier(rag).select("image", F.col("a").alias("lab"), F.col("b").alias("_b"))
+    rows = rows.withColumn("_last", F.lag("d").over(Window.partitionBy("image").orderBy("lab")))
+    other = rows.select("image", F.col("lab").alias("_b"), F.col("d").alias("_near"))
+    rows = rows.join(best, ["image", "lab"], "left").join(other, ["image", "_b"], "left")
+    return rows.select("image", "lab", "d", F.abs(F.coalesce("_near", "_last", F.lit(0))).alias("before"))
+
+
+def model_ladder(rows: DataFrame, by: list[str], models: dict[str, list[str]], symbol: str, symbols: int) -> DataFrame:
+    """Adaptive and static bits of each named model (a list of context columns), all from one pass over the counts."""
+    named = F.array(*[F.struct(F.lit(m).alias("model"), F.to_json(F.array(*[F.col(c).cast("string") for c in cs])).alias("context")) for m, cs in models.items()])
+    long = rows.select(*by, F.col(symbol).alias("_s"), F.explode(named).alias("_m")).select(*by, "_s", "_m.model", "_m.context")
+    counts = long.groupBy(*by, "model", "context", "_s").agg(F.count("*").alias("_c"))
+    per = counts.groupBy(*by, "model", "context").agg(F.sum("_c").alias("_t"), F.sum(entropy.rising_bits(1.0, F.col("_c"))).alias("_n"), F.sum(F.col("_c") * F.log2("_c")).alias("_l"))
+    adaptive = F.sum(entropy.rising_bits(float(symbols), F.col("_t")) - F.col("_n"))
+    static = F.sum(F.col("_t") * F.log2("_t") - F.col("_l"))
+    return per.groupBy(*by, "model").agg(adaptive.alias("adaptive"), static.alias("static"))
+
+
+def best_models(ladder: DataFrame, by: list[str]) -> DataFrame:
+    """The best model that can be coded and the best with its tables for free; ties go to the first name."""
+    pick = lambda c: F.min(F.struct(F.round(c, 6).alias("bits"), F.col("model").alias("model")))
+    got = ladder.groupBy(*by).agg(pick("adaptive").alias("a"), pick("static").alias("s"))
+    return got.select(*by, F.col("a.model").alias("best"), F.col("a.bits").alias("bits"), F.col("s.model").alias("best_static"), F.col("s.bits").alias("static_bits"))
+
+
+def greedy_taps(rows: DataFrame, symbol: str, base: str, pool: list[str], want: int) -> list[tuple[str, float]]:
+    """Grows a context bit by bit: each step prices base with every column of pool that is left, in one job, and keeps
+    the one with the fewest adaptive bits (first in pool on ties). Only one row a candidate reaches the driver."""
+    chosen: list[tuple[str, float]] = []
+    while len(chosen) < want and len(chosen) < len(pool):
+        taken = [c for c, _ in chosen]
+        left = {c: [base, *taken, c] for c in pool if c not in taken}
+        priced = model_ladder(rows.withColumn("_all", F.lit(0)), ["_all"], left, symbol, 2).collect()
+        best = min(priced, key=lambda r: (round(r.adaptive, 6), pool.index(r.model)))
+        chosen.append((best.model, round(best.adaptive, 6)))
+    return chosen
