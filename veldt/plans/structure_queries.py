@@ -7,10 +7,11 @@ from functools import partial
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import merging, points, pricing, quantizers, raster
+from ..operators import geometry, kmeans, merging, points, pricing, quantizers, raster, sequential
 from ..sources.views import pixels
 from ..sources.views import raster as grid
-from ..sources.views import symbols
+from ..sources.views import symbols, table
+from . import image_queries
 from .point_queries import PAL
 from .raster_queries import COMP, closed_form
 
@@ -110,3 +111,26 @@ ORACLE_SQL = {
     "e17_palette_price": REGIONS + ", q AS (SELECT (g.r * 256 + g.g) * 256 + g.b AS col, (o.r * 256 + o.g) * 256 + o.b AS near FROM regs g LEFT JOIN best ON best.a = g.lab LEFT JOIN regs o ON o.lab = best.o), en AS (SELECT count(DISTINCT col) AS entries FROM q), k AS (SELECT near, col, count(*) AS k FROM q GROUP BY ALL) SELECT entries, CASE WHEN entries > 512 THEN CAST('inf' AS DOUBLE) ELSE round(sum(b) + 24 * entries, 5) END AS bits FROM (SELECT entries, (lgamma(sum(k) + entries) - lgamma(entries) - sum(lgamma(k + 1))) / ln(2) AS b FROM k, en GROUP BY near, entries) GROUP BY entries",
     "e25_range_coder": STREAM + " SELECT chain, count(*) AS n, count(*) FILTER (sym = 4) AS ones FROM t GROUP BY chain",
 }
+
+
+def _dense(s, d):
+    return image_queries.planes(s, d)
+
+
+def _mixing(s, d):
+    w = Window.partitionBy("chain").orderBy("ts", "event_id")
+    rows = symbols(s, d).withColumn("none", F.lit(0)).withColumn("one", F.lag("sym", 1, 0).over(w)).withColumn("two", F.col("one") * 5 + F.lag("sym", 2, 0).over(w))
+    return sequential.mixing_bits(rows, ["chain"], ["ts", "event_id"], "sym", ["none", "one", "two"], width=3)
+
+
+QUERIES |= {
+    "c5_farthest_kmeans": lambda s, d: quantizers.palettes(_hist(s, d), ["image"], 8, kmeans.kmeans),
+    "c6_spread_kmeans": lambda s, d: quantizers.palettes(_hist(s, d), ["image"], 8, partial(kmeans.kmeans, seeds=kmeans.spread_seeds)),
+    "c6_random_kmeans": lambda s, d: quantizers.palettes(_hist(s, d), ["image"], 8, partial(kmeans.kmeans, seeds=kmeans.random_seeds)),
+    "c8_o4_restarts": lambda s, d: quantizers.palettes(_hist(s, d), ["image"], 8, kmeans.restarted),
+    "c9_hyab_kmeans": lambda s, d: quantizers.palettes(_hist(s, d), ["image"], 8, kmeans.hyab_kmeans),
+    "g6_relax": lambda s, d: sequential.relax(_dense(s, d), 400.0),
+    "e24_mixing": _mixing,
+    "e26_compressed_sizes": lambda s, d: sequential.compressed_sizes(geometry.sidecar(_dense(s, d)), ["image"], ["y", "x"], "delta"),
+    "m12_leave_one_out": lambda s, d: sequential.leave_one_out(table(s, d, "benchmark").select(F.lit(0).alias("set"), "item_id", "text"), ["set"], "item_id", "text"),
+}

@@ -58,3 +58,32 @@ def matched(spark: SparkSession, path: str, pattern: str, names: list[str]) -> D
     """Groups of a pattern on each line that it matches."""
     rows = spark.read.text(path).filter(F.col("value").rlike(pattern))
     return rows.select(*[F.regexp_extract("value", pattern, i + 1).alias(n) for i, n in enumerate(names)])
+
+
+def tab_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a tab-separated file without a header; a row that does not fit the schema stops the read."""
+    return spark.read.csv(path, sep="\t", schema=schema, mode="FAILFAST")
+
+
+def complete(rows: DataFrame, keys: DataFrame, parts: list[str], part: str) -> DataFrame:
+    """rows, once every key has a row for each of `parts`; otherwise ValueError names some that lack one. Keys are a
+    table of steps or windows, and parts a short list."""
+    wanted = keys.select("*", F.explode(F.array(*map(F.lit, parts))).alias(part))
+    lacking = wanted.join(rows, [*keys.columns, part], "left_anti").limit(5).collect()
+    if lacking:
+        raise ValueError(f"rows are missing: {[tuple(r) for r in lacking]}")
+    return rows
+
+
+def lossless_and_lossy(rows: DataFrame, psnr: str = "psnr", bound: float = 99.0) -> tuple[DataFrame, DataFrame]:
+    return rows.filter(F.col(psnr) >= bound), rows.filter(F.col(psnr) < bound)
+
+
+def run_times(spark: SparkSession, path: str) -> DataFrame:
+    """run, seconds: the times of the first result in a timing tool's JSON report."""
+    report = spark.read.schema("results array<struct<times: array<double>>>").json(path, multiLine=True)
+    return report.select(F.posexplode(F.expr("results[0].times")).alias("run", "seconds"))
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").json(path)
