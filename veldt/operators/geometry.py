@@ -49,7 +49,7 @@ def jump_flood(cells: DataFrame, width: int, height: int) -> DataFrame:
     """cells(image, x, y, seed or null) -> site, the number in raster order of the seed that flooding brings to each
     cell. Each round reads the cells a step up, down, left and right and those diagonal to them; the step halves. On
     equal distances the cell's own site stays, then the first tap in raster order wins. Approximate, as defined."""
-    number = F.row_number().over(Window.partitionBy("image").orderBy("y", "x")) - 1
+    number = (F.row_number().over(Window.partitionBy("image").orderBy("y", "x")) - 1).cast("long")
     seeds = cells.filter(F.col("seed").isNotNull()).select("image", "x", "y", number.alias("site"), F.col("x").alias("sx"), F.col("y").alias("sy"))
     now = cells.select("image", "x", "y").join(seeds, ["image", "x", "y"], "left")
     step = 1

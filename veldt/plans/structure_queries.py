@@ -7,6 +7,7 @@ from functools import partial
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import colour
 from ..operators import geometry, kmeans, merging, points, pricing, quantizers, raster, sequential
 from ..sources.views import pixels
 from ..sources.views import raster as grid
@@ -117,6 +118,14 @@ def _dense(s, d):
     return image_queries.planes(s, d)
 
 
+def _hyab(s, d):
+    """HyAB k-means in OKLab, whose axes stand in for the palette's three, and back to 0..255."""
+    rgb = [F.col(c) for c in "rgb"]
+    points = _hist(s, d).select("image", "cnt", *[c.alias(n) for c, n in zip(colour.rgb_to_oklab(*rgb), "rgb", strict=True)])
+    palette = quantizers.palettes(points, ["image"], 8, kmeans.hyab_kmeans)
+    return palette.select("image", "idx", *[c.alias(n) for c, n in zip(colour.oklab_to_rgb(*rgb), "rgb", strict=True)])
+
+
 def _mixing(s, d):
     w = Window.partitionBy("chain").orderBy("ts", "event_id")
     rows = symbols(s, d).withColumn("none", F.lit(0)).withColumn("one", F.lag("sym", 1, 0).over(w)).withColumn("two", F.col("one") * 5 + F.lag("sym", 2, 0).over(w))
@@ -128,7 +137,7 @@ QUERIES |= {
     "c6_spread_kmeans": lambda s, d: quantizers.palettes(_hist(s, d), ["image"], 8, partial(kmeans.kmeans, seeds=kmeans.spread_seeds)),
     "c6_random_kmeans": lambda s, d: quantizers.palettes(_hist(s, d), ["image"], 8, partial(kmeans.kmeans, seeds=kmeans.random_seeds)),
     "c8_o4_restarts": lambda s, d: quantizers.palettes(_hist(s, d), ["image"], 8, kmeans.restarted),
-    "c9_hyab_kmeans": lambda s, d: quantizers.palettes(_hist(s, d), ["image"], 8, kmeans.hyab_kmeans),
+    "c9_hyab_kmeans": _hyab,
     "g6_relax": lambda s, d: sequential.relax(_dense(s, d), 400.0),
     "e24_mixing": _mixing,
     "e26_compressed_sizes": lambda s, d: sequential.compressed_sizes(geometry.sidecar(_dense(s, d)), ["image"], ["y", "x"], "delta"),
