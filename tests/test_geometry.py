@@ -7,7 +7,7 @@ import random
 
 import pytest
 
-from veldt.operators import geometry, pricing, raster
+from veldt.operators import geometry, points, pricing, raster
 
 W, H = 13, 9
 
@@ -111,3 +111,16 @@ def test_greedy_taps_takes_the_cheapest(spark):
     singles = {r.model: r.adaptive for r in pricing.model_ladder(df, ["base"], {c: [c] for c in ("t1", "t2", "t3")}, "v", 2).collect()}
     assert got[0][0] == min(singles, key=singles.get) and {c for c, _ in got[:2]} == {"t1", "t2"} and got[2][0] == "t3"
     assert got[0][1] == pytest.approx(min(singles.values()), abs=1e-5) and got[1][1] < 40
+
+
+def test_nearest_by_rings(spark):
+    """Clusters and far points, ties by lowest index; more references than a broadcast would take are not needed here."""
+    pick = random.Random(9)
+    refs = [(i, pick.randrange(0, 40) * 3, pick.randrange(0, 40)) for i in range(60)] + [(60, 900, -700), (61, 900, -700)]
+    pts = [(i, pick.randrange(-500, 1000), pick.randrange(-800, 100)) for i in range(150)] + [(150, 900, -700)]
+    got = points.nearest_by_rings(spark.createDataFrame(pts, "id int, x int, y int"), spark.createDataFrame(refs, "idx int, rx int, ry int"), [("x", "rx"), ("y", "ry")], ["id"], 2.0)
+    want = {i: min(((x - a) ** 2 + (y - b) ** 2, j) for j, a, b in refs) for i, x, y in pts}
+    rows = got.collect()
+    assert len(rows) == len(pts) and {r.id: (r.d, r.idx) for r in rows} == want
+    none = spark.createDataFrame([], "idx int, rx int, ry int")
+    assert points.nearest_by_rings(spark.createDataFrame(pts, "id int, x int, y int"), none, [("x", "rx"), ("y", "ry")], ["id"], 2.0).count() == 0

@@ -160,3 +160,36 @@ def nearest_by_cells(points: DataFrame, palette: DataFrame, bits: int, key: list
     d = colour.dist2(tuple(F.col(c) for c in "rgb"), tuple(F.col(f"p{c}") for c in "rgb")).cast("long")
     rest = found.filter("not interior").select(*points.columns)
     return hits.select(*key, d.alias("d"), "idx").union(nearest(rest, palette.select("idx", *[F.col(c).alias(f"p{c}") for c in "rgb"]), d, key))
+
+
+def nearest_by_rings(points: DataFrame, references: DataFrame, axes: list[tuple[str, str]], key: list[str], cell: float, idx: str = "idx") -> DataFrame:
+    """key..., d, idx: the reference with the least squared distance, lowest index on ties, of any number of references.
+
+    Both sides are joined on cells, a point with the 3^k cells around its own. What lies outside is farther than a cell's
+    side, so a point whose best is no farther is done; the others go on with cells twice as large. Nothing is broadcast
+    here. Points should be distinct on key, without nulls; with no references there are no rows. A point far from a dense
+    cluster meets all of it.
+    """
+    extents = [side.agg(*[f(a[i]).cast("double") for a in axes for f in (F.min, F.max)]).first() for i, side in enumerate((points, references))]
+    if any(v is None for e in extents for v in e):
+        return points.select(*key, F.lit(0.0).alias("d"), F.lit(0).alias(idx)).limit(0)
+    extent = max(max(e[2 * k + 1] for e in extents) - min(e[2 * k] for e in extents) for k in range(len(axes)))
+    names = [f"_k{k}" for k in range(len(axes))]
+    far = sum((((F.col(p) - F.col(r)) * (F.col(p) - F.col(r))) for p, r in axes), F.lit(0))
+    left, done, size = points, None, float(cell)
+    while True:
+        around = left
+        for name, (p, _) in zip(names, axes, strict=True):
+            at = F.floor(F.col(p) / size)
+            around = around.withColumn(name, F.explode(F.array(at - 1, at, at + 1)))
+        held = references.select(idx, *[r for _, r in axes], *[F.floor(F.col(r) / size).alias(n) for n, (_, r) in zip(names, axes, strict=True)])
+        best = around.join(held, names).groupBy(*key).agg(F.min(F.struct(far.alias("d"), idx)).alias("_m"))
+        last = size > extent
+        near = (best if last else best.filter(F.col("_m.d") <= size * size)).select(*key, F.col("_m.d").alias("d"), F.col(f"_m.{idx}").alias(idx)).checkpoint()
+        done = near if done is None else done.union(near)
+        if last:
+            return done
+        left = left.join(near.select(*key), key, "left_anti").checkpoint()
+        if left.isEmpty():
+            return done
+        size *= 2

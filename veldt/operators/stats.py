@@ -168,3 +168,8 @@ def undominated(rows: DataFrame, axes: list[str]) -> DataFrame:
         same &= F.col(a).cast("double") == F.col(f"_{a}")
         missing |= F.col(a).isNull()
     return rows.join(best, same, "left_semi").union(rows.filter(missing))
+
+
+def experiment_summary(rows: DataFrame, experiment: str, size: str, encode: str, decode: str) -> DataFrame:
+    """For each experiment: total size, slowest encoding and decoding, mean size."""
+    return rows.groupBy(experiment).agg(F.sum(size).alias("total"), F.max(encode).alias("slowest_encode"), F.max(decode).alias("slowest_decode"), F.avg(size).alias("mean"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import entropy, geometry, images, pricing, raster
-from ..sources.views import table
+from ..operators import entropy, geometry, images, points, pricing, raster, stats
+from ..sources.views import pixels, table
 from .image_queries import CRACKS, H_TAPS, INSIDE, PX, SEVEN_V, V_TAPS, H, W, _planes_of_cracks, _round, coarse, planes, rects
+from .point_queries import PAL
 
 #: Edges that sizes of residuals are put in buckets by.
 MAGNITUDES = (0, 1, 2, 4, 8, 16, 32)
@@ -76,6 +77,25 @@ j{step} AS (SELECT p.image, p.x, p.y, b.site FROM {at} p LEFT JOIN (SELECT image
     return out + f" SELECT image, x, y, site FROM {at}"
 
 
+#: The taps of an occupancy plane, lowest bit first.
+SEED_TAPS = [("v", dx, dy) for _, dx, dy in V_TAPS[:9]] + [("v", -3, 0)]
+
+
+def seed_map(s, d):
+    """Bytes of a plane that marks seeds, each bit in the context of ten earlier ones."""
+    px = planes(s, d).select("image", "x", "y", ((F.col("r") + 3 * F.col("x") + 5 * F.col("y")) % 19 == 0).cast("int").alias("v"))
+    bits = entropy.adaptive_bits(images.template_context(px, SEED_TAPS), ["image"], ["context"], "v", 2)
+    return _round(bits.select("image", (F.col("bits") / 8).alias("bytes")))
+
+
+def by_rings(s, d):
+    """The nearest popular colours again, without a broadcast."""
+    hist = points.histogram(pixels(s, d))
+    pal = points.popularity(hist, 16).select("idx", *[F.col(c).alias(f"p{c}") for c in "rgb"])
+    got = points.nearest_by_rings(hist, pal, [(c, f"p{c}") for c in "rgb"], ["key"], 16.0)
+    return got.select("key", F.col("d").cast("long").alias("d"), F.col("idx").cast("long").alias("idx"))
+
+
 #: Named sets of taps for the bits to the right and below.
 VARIANTS = {"ten": (V_TAPS, H_TAPS), "seven": (SEVEN_V, H_TAPS[:7]), "own": (V_TAPS[:4], H_TAPS[:4])}
 MODES = ("planes", "planes_reversed", "cells", "cells_reversed")
@@ -194,6 +214,9 @@ QUERIES = {
     "a28_pinned_gain": pinned_gain,
     "w11_previous_residual": residual_contexts,
     "e6_schedules": schedules,
+    "e21_seed_map": seed_map,
+    "j12_nearest_by_rings": by_rings,
+    "a29_experiment_summary": lambda s, d: _round(stats.experiment_summary(table(s, d, "lineitem"), "l_returnflag", "l_orderkey", "l_linenumber", "l_suppkey")),
     "o5_greedy_taps": greedy,
     "e22_model_ladder": lambda s, d: _round(_ladder(s, d)),
     "o8_best_models": lambda s, d: pricing.best_models(_ladder(s, d), ["image"]).select("image", "best", F.round("bits", 4).alias("bits"), "best_static", F.round("static_bits", 4).alias("static_bits")),
@@ -226,6 +249,10 @@ best AS (SELECT image, a AS lab, arg_min(b, -len * 1000000 + b) AS b FROM rag WH
 z AS (SELECT pr.image, pr.d, abs(coalesce(o.d, pr.p, 0)) AS before FROM pr LEFT JOIN best USING (image, lab) LEFT JOIN e o ON o.image = pr.image AND o.lab = best.b)
 """ + adaptive_sql("z", "image", "CASE " + " ".join(f"WHEN before <= {e} THEN {i}" for i, e in enumerate(MAGNITUDES)) + f" ELSE {len(MAGNITUDES)} END", "greatest(0, least(511, d + 256))", 512),
     "e6_schedules": schedules_sql(),
+    "e21_seed_map": PX + ", cr AS (SELECT image, x, y, CAST((r + 3 * x + 5 * y) % 19 = 0 AS INT) AS v FROM px), o AS (SELECT image, v, " + _context_sql(SEED_TAPS) + """ AS ctx FROM cr a),
+k AS (SELECT image, ctx, v, count(*) AS k FROM o GROUP BY ALL), t AS (SELECT image, ctx, (lgamma(sum(k) + 2) - sum(lgamma(k + 1))) / ln(2) AS b FROM k GROUP BY ALL) SELECT image, round(sum(b) / 8, 6) AS bytes FROM t GROUP BY image""",
+    "j12_nearest_by_rings": "WITH " + PAL + " SELECT key, m.d AS d, m.idx AS idx FROM near",
+    "a29_experiment_summary": "SELECT l_returnflag, CAST(sum(l_orderkey) AS BIGINT) AS total, max(l_linenumber) AS slowest_encode, max(l_suppkey) AS slowest_decode, round(avg(l_orderkey), 6) AS mean FROM lineitem GROUP BY l_returnflag",
     "o5_greedy_taps": greedy_sql(),
     "e22_model_ladder": ladder_sql() + " SELECT image, model, round(adaptive, 6) AS adaptive, round(static, 6) AS static FROM ladder",
     "o8_best_models": ladder_sql() + """, r AS (SELECT image, model, round(adaptive, 6) AS a, round(static, 6) AS s FROM ladder), x AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY a, model) AS i, row_number() OVER (PARTITION BY image ORDER BY s, model) AS j FROM r)
