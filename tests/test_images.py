@@ -22,7 +22,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the tables")
-@pytest.mark.parametrize("name", ["p13_p14_p41_distances", "m20_a20_de_scores", "p15_m21_ciede2000", "a21_a22_plane_fits", "j8_m26_u3_agreement", "e5_crack_edges", "g16_parity", "w3_stratified", "m27_window_fidelity"])
+@pytest.mark.parametrize("name", ["p13_p14_p41_distances", "m20_a20_de_scores", "p15_m21_ciede2000", "a21_a22_plane_fits", "j8_m26_u3_agreement", "e5_crack_edges", "g16_parity", "w3_stratified", "m27_window_fidelity", "g11_crack_vertices", "g14_quadtree", "j16_jump_flood", "w11_previous_residual", "a28_pinned_gain", "j12_nearest_by_rings", "e21_seed_map", "e22_model_ladder"])
 def test_parity(spark, name):
     import duckdb
 
