@@ -31,15 +31,26 @@ def test_seeds_are_different_points(points, seeds):
     assert len(seeds(p[:2], w[:2], 9)) == 2
 
 
-def test_lloyd_by_hand(points):
+def test_farthest_seeds_by_hand(points):
+    p, w = points
+    chosen = [max(range(len(p)), key=lambda i: (w[i], -i))]
+    while len(chosen) < 6:
+        chosen.append(max(range(len(p)), key=lambda i: (min(sum((p[i][c] - p[j][c]) ** 2 for c in range(3)) for j in chosen), -i)))
+    assert (kmeans.farthest_seeds(p, w, 6) == p[chosen]).all()
+
+
+@pytest.mark.parametrize("by_error", [False, True])
+def test_lloyd_by_hand(points, by_error):
     p, w = points
     centres = [list(c) for c in p[:5]]
     for _ in range(10):
-        groups = [[] for _ in centres]
-        for i, a in enumerate(p):
-            groups[min(range(5), key=lambda j: (sum((a[c] - centres[j][c]) ** 2 for c in range(3)), j))].append(i)
-        centres = [[sum(w[i] * p[i][c] for i in g) / sum(w[i] for i in g) for c in range(3)] if g else centres[j] for j, g in enumerate(groups)]
-    assert kmeans.lloyd(p, w, p[:5].copy()) == pytest.approx(np.array(centres))
+        far = [[math.dist(a, c) for c in centres] for a in p]
+        at = [d.index(min(d)) for d in far]
+        mean = sum(min(d) * k for d, k in zip(far, w, strict=True)) / sum(w)
+        pull = [k * (0.5 + min(d) / mean) if by_error else k for d, k in zip(far, w, strict=True)]
+        groups = [[i for i in range(len(p)) if at[i] == j] for j in range(5)]
+        centres = [[sum(pull[i] * p[i][c] for i in g) / sum(pull[i] for i in g) for c in range(3)] if g else centres[j] for j, g in enumerate(groups)]
+    assert kmeans.lloyd(p, w, p[:5].copy(), by_error=by_error) == pytest.approx(np.array(centres))
 
 
 def test_an_empty_centre_stays():

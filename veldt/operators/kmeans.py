@@ -70,12 +70,18 @@ def farthest_seeds(p: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
     return p[chosen].astype(float)
 
 
-def lloyd(p: np.ndarray, w: np.ndarray, centres: np.ndarray, rounds: int = 10, power: float = 0.0) -> np.ndarray:
-    """Moves centres to the weighted means of their points; one without points stays. With a power above 0 a point's
-    weight is raised by 1 + its distance to that power, so badly served points pull harder."""
+def _pulls(w: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Weights times a half plus each distance over the weighted mean distance (over 1 where all distances are 0)."""
+    d = np.sqrt(far)
+    return w * (0.5 + d / ((d * w).sum() / w.sum() or 1.0))
+
+
+def lloyd(p: np.ndarray, w: np.ndarray, centres: np.ndarray, rounds: int = 10, by_error: bool = False) -> np.ndarray:
+    """Moves centres to the weighted means of their points; one without points stays. By error, points that are served
+    badly pull harder."""
     for _ in range(rounds):
         at, far = nearest(p, centres)
-        pull = w * (1 + np.sqrt(far)) ** power if power else w
+        pull = _pulls(w, far) if by_error else w
         total = np.bincount(at, pull, len(centres))
         sums = np.stack([np.bincount(at, pull * p[:, c], len(centres)) for c in range(p.shape[1])], 1)
         centres = np.where(total[:, None] > 0, sums / np.where(total > 0, total, 1)[:, None], centres)
@@ -86,8 +92,8 @@ def error(p: np.ndarray, w: np.ndarray, centres: np.ndarray) -> float:
     return float((nearest(p, centres)[1] * w).sum())
 
 
-def kmeans(p: np.ndarray, w: np.ndarray, n: int, seeds: Callable = farthest_seeds, rounds: int = 10) -> np.ndarray:
-    return lloyd(p, w, seeds(p, w, n), rounds)
+def kmeans(p: np.ndarray, w: np.ndarray, n: int, seeds: Callable = farthest_seeds, rounds: int = 10, by_error: bool = False) -> np.ndarray:
+    return lloyd(p, w, seeds(p, w, n), rounds, by_error)
 
 
 def restarted(p: np.ndarray, w: np.ndarray, n: int, restarts: int = 4, rounds: int = 10) -> np.ndarray:

@@ -134,6 +134,7 @@ def _mixing(s, d):
 
 QUERIES |= {
     "c5_farthest_kmeans": lambda s, d: quantizers.palettes(_hist(s, d), ["image"], 8, kmeans.kmeans),
+    "c4_error_weighted_kmeans": lambda s, d: quantizers.palettes(_hist(s, d), ["image"], 8, partial(kmeans.kmeans, by_error=True)),
     "c6_spread_kmeans": lambda s, d: quantizers.palettes(_hist(s, d), ["image"], 8, partial(kmeans.kmeans, seeds=kmeans.spread_seeds)),
     "c6_random_kmeans": lambda s, d: quantizers.palettes(_hist(s, d), ["image"], 8, partial(kmeans.kmeans, seeds=kmeans.random_seeds)),
     "c8_o4_restarts": lambda s, d: quantizers.palettes(_hist(s, d), ["image"], 8, kmeans.restarted),
